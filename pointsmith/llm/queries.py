@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from pointsmith.session import table
 
+from .bpe import encode_digests
 from .decontaminate import decontaminate
 from .line_dedup import apply_bitmaps, line_dedup
+from .secrets import scan_secrets
+from .token_counts import count_tokens
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,12 +20,24 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(table(spark, sf_dir, "documents"))
+
+
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_digests(table(spark, sf_dir, "documents"))
+
+
 def queries():
-    return {f.__name__: f for f in (op1_line_dedup, op8_decontaminate,)}
+    return {f.__name__: f for f in (op1_line_dedup, op7_token_counts, op8_decontaminate, op9_secrets, op10_bpe)}
 
 
 def oracle_sql():
