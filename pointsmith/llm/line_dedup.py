@@ -57,7 +57,7 @@ def _heavy(rows: DataFrame, parts: int, min_docs: int) -> DataFrame | None:
     spark = rows.sparkSession
     chosen = spark.createDataFrame([(x,) for x in often], "h1 long")
     # Partial sums leave the map side: one row for each key and document there, then one for each key.
-    each = rows.join(F.broadcast(chosen), "h1", "left_semi").groupBy("h1", "h2", "id").agg()
+    each = rows.join(F.broadcast(chosen), "h1", "left_semi").select("h1", "h2", "id").distinct()
     return each.groupBy("h1", "h2").agg(F.max("id").alias("survivor"), (F.count(F.lit(1)) >= min_docs).alias("enough"))
 
 
