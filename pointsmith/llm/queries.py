@@ -10,8 +10,10 @@ from pointsmith.session import table
 from .bpe import encode_digests
 from .decontaminate import decontaminate
 from .line_dedup import apply_bitmaps, line_dedup
+from .quality import quality
 from .secrets import scan_secrets
 from .token_counts import count_tokens
+from .toxicity import toxicity
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +22,14 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
 
@@ -37,7 +47,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op1_line_dedup, op7_token_counts, op8_decontaminate, op9_secrets, op10_bpe)}
+    return {f.__name__: f for f in (op1_line_dedup, op5_toxicity, op6_quality, op7_token_counts, op8_decontaminate, op9_secrets, op10_bpe)}
 
 
 def oracle_sql():
