@@ -11,6 +11,7 @@ from .bpe import encode_digests
 from .decontaminate import decontaminate
 from .line_dedup import apply_bitmaps, line_dedup
 from .quality import quality
+from .quality_rules import quality_rules
 from .secrets import scan_secrets
 from .token_counts import count_tokens
 from .toxicity import toxicity
@@ -22,6 +23,10 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents")).drop("distance")
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -47,7 +52,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op1_line_dedup, op5_toxicity, op6_quality, op7_token_counts, op8_decontaminate, op9_secrets, op10_bpe)}
+    return {f.__name__: f for f in (op1_line_dedup, op3_quality_rules, op5_toxicity, op6_quality, op7_token_counts, op8_decontaminate, op9_secrets, op10_bpe)}
 
 
 def oracle_sql():
