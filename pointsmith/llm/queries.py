@@ -10,6 +10,7 @@ from pointsmith.session import table
 from .bpe import encode_digests
 from .decontaminate import decontaminate
 from .line_dedup import apply_bitmaps, line_dedup
+from .pii import KINDS, find_pii, shown
 from .quality import quality
 from .quality_rules import quality_rules
 from .secrets import scan_secrets
@@ -23,6 +24,13 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_pii(table(spark, sf_dir, "documents"))
+    kinds = F.transform("base", lambda x: x["kind"])
+    counts = [F.size(kinds).cast("long") - F.size(F.array_remove(kinds, k)).cast("long") for k in KINDS]
+    return found.select("doc_id", *(c.alias(f"n_{k}") for c, k in zip(counts, KINDS)), F.sha2(shown(F.col("base")), 256).alias("base_sha256"), shown(F.concat("base", "found")).alias("spans"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents")).drop("distance")
 
@@ -52,7 +60,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op1_line_dedup, op3_quality_rules, op5_toxicity, op6_quality, op7_token_counts, op8_decontaminate, op9_secrets, op10_bpe)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_pii, op3_quality_rules, op5_toxicity, op6_quality, op7_token_counts, op8_decontaminate, op9_secrets, op10_bpe)}
 
 
 def oracle_sql():
