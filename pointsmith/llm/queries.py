@@ -10,6 +10,7 @@ from pointsmith.session import table
 from .bpe import encode_digests
 from .decontaminate import decontaminate
 from .line_dedup import apply_bitmaps, line_dedup
+from .minhash import near_duplicates
 from .pii import KINDS, find_pii, shown
 from .quality import quality
 from .quality_rules import quality_rules
@@ -35,6 +36,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents")).drop("distance")
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -60,7 +65,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op1_line_dedup, op2_pii, op3_quality_rules, op5_toxicity, op6_quality, op7_token_counts, op8_decontaminate, op9_secrets, op10_bpe)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_pii, op3_quality_rules, op4_near_duplicates, op5_toxicity, op6_quality, op7_token_counts, op8_decontaminate, op9_secrets, op10_bpe)}
 
 
 def oracle_sql():
