@@ -172,16 +172,19 @@ def _digest(entries: list) -> tuple:
     return (shown.count(",") + 1 if shown else 0), hashlib.sha256(shown.encode()).hexdigest(), decoded
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, pattern: str | None = None) -> DataFrame:
-    """(doc_id, n_tokens, ids): the whole text's ids. vocabulary: a public tokenizer's file name, or a path on the workers."""
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, pattern: str | None = None, decoded_size: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, ids): the whole text's ids. vocabulary: a public tokenizer's file name, or a path on the workers.
+
+    decoded_size adds n_bytes, the bytes that the ids decode to.
+    """
     rows = id_text(docs, id_col, text_col)
-    schema = pa.schema([("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32()))])
+    schema = pa.schema([("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32())), *([("n_bytes", pa.int64())] if decoded_size else [])])
 
     def row(entries):
         ids = [i for e in entries for i in e[1]]
-        return len(ids), ids
+        return (len(ids), ids, *([sum([len(e[2]) for e in entries])] if decoded_size else []))
 
-    return map_arrow(rows, _run(vocabulary, pattern, row, schema), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids array<int>")
+    return map_arrow(rows, _run(vocabulary, pattern, row, schema), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids array<int>" + ", n_bytes long" * decoded_size)
 
 
 def encode_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, pattern: str | None = None) -> DataFrame:
