@@ -1,9 +1,577 @@
-"""Queries over the test tables and their DuckDB oracles."""
+"""Queries over the test tables, one for each operator, and their DuckDB oracles."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.column import Column
+
+from pointsmith.functions import textfn, vecmath as vm
+from pointsmith.operators import aggregate, filters, fusion, mutate, paging, search, text_search
+from pointsmith.operators.points import as_points
+from pointsmith.session import cut, table
+from pointsmith.sources import ingest
+
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(oracle: str | None = None):
+    """Register a query under its function's name."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return add
 
 
 def queries():
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(ORACLES)
+
+
+def _vectors(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
+
+
+def _vector_of(spark: SparkSession, d: str, vec_id: int = 0) -> list[float]:
+    """One query vector, needed to build a plan with a literal."""
+    return table(spark, d, "embeddings").where(F.col("vec_id") == vec_id).select("embedding").first()[0]
+
+
+def _hits(df: DataFrame, *more: str | Column) -> DataFrame:
+    return df.select("id", F.round("score", 6).alias("score"), *more)
+
+
+# DuckDB fragments
+_V = "embedding::DOUBLE[]"
+_Q0 = "(SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)"
+_COS = f"list_cosine_similarity({_V}, {_Q0})"
+_KNN = "SELECT vec_id AS id, round(s, 6) AS score FROM (SELECT vec_id, {score} AS s FROM embeddings WHERE {where}) ORDER BY s DESC, vec_id LIMIT {k}"
+
+
+def _knn_sql(score: str = _COS, where: str = "true", k: int = 10) -> str:
+    return _KNN.format(score=score, where=where, k=k)
+
+
+# -- nearest neighbours
+@query(_knn_sql())
+def knn_cosine(spark, d):
+    return _hits(search.knn(_vectors(spark, d), _vector_of(spark, d)))
+
+
+@query(_knn_sql(f"0 - list_distance({_V}, {_Q0})"))
+def knn_l2(spark, d):
+    return _hits(search.knn(_vectors(spark, d), _vector_of(spark, d), distance="Euclidean"))
+
+
+@query(_knn_sql(f"list_dot_product({_V}, {_Q0})"))
+def knn_dot(spark, d):
+    return _hits(search.knn(_vectors(spark, d), _vector_of(spark, d), distance="Dot"))
+
+
+@query(_knn_sql(f"list_dot_product({_V}, {_Q0}) / sqrt(list_dot_product({_Q0}, {_Q0}))"))
+def knn_query_normalized(spark, d):
+    return _hits(search.knn(_vectors(spark, d), _vector_of(spark, d), scoring="query_normalized"))
+
+
+@query(_knn_sql(where="label = 2"))
+def knn_filtered_eq(spark, d):
+    return _hits(search.knn(_vectors(spark, d), _vector_of(spark, d), flt={"must": [{"key": "label", "match": {"value": 2}}]}))
+
+
+@query(_knn_sql(where="label IN (1, 3, 5)"))
+def knn_filtered_any(spark, d):
+    return _hits(search.knn(_vectors(spark, d), _vector_of(spark, d), flt={"must": [{"key": "label", "match": {"any": [1, 3, 5]}}]}))
+
+
+@query(_knn_sql(where="label >= 2 AND label < 6"))
+def knn_filtered_range(spark, d):
+    return _hits(search.knn(_vectors(spark, d), _vector_of(spark, d), flt={"must": [{"key": "label", "range": {"gte": 2, "lt": 6}}]}))
+
+
+@query(_knn_sql(where="label <> 2"))
+def knn_filtered_must_not(spark, d):
+    return _hits(search.knn(_vectors(spark, d), _vector_of(spark, d), flt={"must_not": [{"key": "label", "match": {"value": 2}}]}))
+
+
+@query(_knn_sql(where="label = 1 OR label > 7"))
+def knn_filtered_should(spark, d):
+    return _hits(search.knn(_vectors(spark, d), _vector_of(spark, d), flt={"should": [{"key": "label", "match": {"value": 1}}, {"key": "label", "range": {"gt": 7}}]}))
+
+
+@query(f"SELECT vec_id AS id, round(s, 6) AS score FROM (SELECT vec_id, {_COS} AS s FROM embeddings) WHERE s >= 0.2 ORDER BY s DESC, vec_id LIMIT 10 OFFSET 5")
+def knn_threshold_offset(spark, d):
+    return _hits(search.knn(_vectors(spark, d), _vector_of(spark, d), offset=5, threshold=0.2))
+
+
+@query(_knn_sql(where="vec_id <> 0"))
+def knn_by_id(spark, d):
+    return _hits(search.knn_by_id(_vectors(spark, d), 0))
+
+
+@query(
+    f"""SELECT query_id, id, round(s, 6) AS score, rank FROM (
+  SELECT q.vec_id AS query_id, p.vec_id AS id, list_cosine_similarity(p.{_V}, q.{_V}) AS s,
+    row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(p.{_V}, q.{_V}) DESC, p.vec_id)::INT AS rank
+  FROM embeddings p, (SELECT * FROM embeddings WHERE vec_id % 20 = 0) q) WHERE rank <= 10"""
+)
+def knn_batch(spark, d):
+    points = _vectors(spark, d)
+    asked = points.where("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("vector").alias("q"))
+    return search.knn_batch(points, asked).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+
+
+@query(
+    f"""WITH pool AS (SELECT vec_id, label, {_COS} AS s FROM embeddings ORDER BY s DESC, vec_id LIMIT 24),
+placed AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY s DESC, vec_id) AS rn, max(s) OVER (PARTITION BY label) AS best FROM pool),
+ranked AS (SELECT *, dense_rank() OVER (ORDER BY best DESC, label::VARCHAR) AS gr FROM placed)
+SELECT vec_id AS id, round(s, 6) AS score, label::VARCHAR AS "group", rn::INT AS rank, gr::INT AS group_rank FROM ranked WHERE rn <= 3 AND gr <= 4"""
+)
+def search_groups(spark, d):
+    found = search.search_groups(_vectors(spark, d), _vector_of(spark, d), "label", limit=4, group_size=3)
+    return _hits(found, "group", "rank", "group_rank")
+
+
+_MEAN = "SELECT pos, avg(x) AS x FROM (SELECT unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings WHERE vec_id IN ({ids})) GROUP BY pos"
+
+
+def _recommend_sql(positive: str, negative: str | None) -> str:
+    p = _MEAN.format(ids=positive)
+    mixed = f"SELECT p.pos, 2 * p.x - n.x AS x FROM ({p}) p JOIN ({_MEAN.format(ids=negative)}) n USING (pos)" if negative else p
+    out = f"{positive}, {negative}" if negative else positive
+    return f"WITH q AS (SELECT list(x ORDER BY pos) AS v FROM ({mixed})) SELECT vec_id AS id, round(s, 6) AS score FROM (SELECT vec_id, list_cosine_similarity({_V}, q.v) AS s FROM embeddings, q WHERE vec_id NOT IN ({out})) ORDER BY s DESC, vec_id LIMIT 10"
+
+
+@query(_recommend_sql("0, 1, 2", None))
+def recommend_pos(spark, d):
+    return _hits(search.recommend(_vectors(spark, d), [0, 1, 2]))
+
+
+@query(_recommend_sql("0, 1", "5, 6"))
+def recommend_pos_neg(spark, d):
+    return _hits(search.recommend(_vectors(spark, d), [0, 1], [5, 6]))
+
+
+@query(_knn_sql(where="label < 5"))
+def discover_target(spark, d):
+    return _hits(search.discover(_vectors(spark, d), 0, flt={"must": [{"key": "label", "range": {"lt": 5}}]}))
+
+
+@query(
+    f"""WITH e AS (SELECT vec_id, {_V} AS v FROM embeddings),
+x AS (SELECT vec_id, list_cosine_similarity(v, {_Q0}) AS s,
+  (list_cosine_similarity(v, (SELECT v FROM e WHERE vec_id = 1)) > list_cosine_similarity(v, (SELECT v FROM e WHERE vec_id = 2)))::INT
+  + (list_cosine_similarity(v, (SELECT v FROM e WHERE vec_id = 3)) > list_cosine_similarity(v, (SELECT v FROM e WHERE vec_id = 4)))::INT AS wins FROM e)
+SELECT vec_id AS id, round(s, 6) AS score, wins FROM x ORDER BY wins DESC, s DESC, vec_id LIMIT 10"""
+)
+def discover_context(spark, d):
+    return _hits(search.discover(_vectors(spark, d), 0, context=[(1, 2), (3, 4)]), "wins")
+
+
+def _multi(spark, d) -> DataFrame:
+    rows = table(spark, d, "embeddings").groupBy(F.expr("vec_id div 4").alias("id")).agg(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))).alias("z"))
+    return rows.select("id", F.transform("z", lambda x: x["embedding"]).alias("multivector"))
+
+
+def _maxsim_sql(pair: str, best: str) -> str:
+    return f"""WITH p AS (SELECT d.vec_id // 4 AS id, q.vec_id AS qi, {pair} AS s FROM embeddings d, (SELECT * FROM embeddings WHERE vec_id < 2) q)
+SELECT id, round(sum(b), 6) AS score FROM (SELECT id, qi, {best}(s) AS b FROM p GROUP BY id, qi) GROUP BY id ORDER BY sum(b) DESC, id LIMIT 10"""
+
+
+def _maxsim(spark, d, distance: str) -> DataFrame:
+    return _hits(search.multivector_search(_multi(spark, d), [_vector_of(spark, d, 0), _vector_of(spark, d, 1)], 10, distance, vector=None))
+
+
+@query(_maxsim_sql(f"list_dot_product(d.{_V}, q.{_V})", "max"))
+def maxsim_dot(spark, d):
+    return _maxsim(spark, d, "Dot")
+
+
+@query(_maxsim_sql(f"list_cosine_similarity(d.{_V}, q.{_V})", "max"))
+def maxsim_cosine(spark, d):
+    return _maxsim(spark, d, "Cosine")
+
+
+@query(_maxsim_sql(f"-list_distance(d.{_V}, q.{_V})", "max"))
+def maxsim_l2(spark, d):
+    return _maxsim(spark, d, "Euclidean")
+
+
+# -- text
+_TOKENS = r"""list_filter(list_transform(regexp_split_to_array(lower(text), '[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}!-/:-@\[-`{-~]+'), lambda x: regexp_replace(x, '^[^\p{L}\p{M}\p{N}]+|[^\p{L}\p{M}\p{N}]+$', '', 'g')), lambda x: strlen(x) > 1)"""
+
+
+def _documents(spark, d) -> DataFrame:
+    return table(spark, d, "documents").withColumn("id", F.col("doc_id"))
+
+
+@query(f"SELECT doc_id AS id, len(t)::INT AS n_tokens, len(list_distinct(t))::INT AS n_terms FROM (SELECT doc_id, {_TOKENS} AS t FROM documents)")
+def tokenize_counts(spark, d):
+    own = _documents(spark, d).select("id", textfn.tokenize(F.col("text")).alias("t"))
+    return own.select("id", F.size("t").alias("n_tokens"), F.size(F.array_distinct("t")).alias("n_terms"))
+
+
+@query(f"SELECT term, count(DISTINCT doc_id) AS df, count(*)::BIGINT AS cf FROM (SELECT doc_id, unnest({_TOKENS}) AS term FROM documents) GROUP BY term HAVING count(DISTINCT doc_id) >= 20")
+def postings_terms(spark, d):
+    index = text_search.postings(_documents(spark, d))
+    return index.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf")).where("df >= 20")
+
+
+def _bm25_sql(query_text: str, limit: int = 10) -> str:
+    times: dict[str, int] = {}
+    for w in query_text.split():
+        times[w] = times.get(w, 0) + 1
+    terms = ", ".join(f"('{w}', {n})" for w, n in times.items())
+    return f"""WITH t AS (SELECT doc_id, {_TOKENS} AS tk FROM documents), q(term, times) AS (VALUES {terms}),
+stats AS (SELECT count(*) AS n, sum(len(tk)) / count(*) AS avg FROM t),
+tf AS (SELECT doc_id, len, term, count(*) AS tf FROM (SELECT doc_id, len(tk) AS len, unnest(tk) AS term FROM t) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+parts AS (SELECT doc_id, times * greatest(0.0, ln((n - df + 0.5) / (df + 0.5))) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / avg)) AS p FROM tf JOIN df USING (term) JOIN q USING (term), stats)
+SELECT doc_id AS id, round(sum(p), 6) AS score FROM parts GROUP BY doc_id ORDER BY sum(p) DESC, doc_id LIMIT {limit}"""
+
+
+@query(_bm25_sql("heonthe reing"))
+def bm25_search(spark, d):
+    return _hits(text_search.bm25(_documents(spark, d), "heonthe reing"))
+
+
+@query(_bm25_sql("tion tion hean"))
+def bm25_repeated_term(spark, d):
+    return _hits(text_search.bm25(_documents(spark, d), "tion tion hean"))
+
+
+@query(f"WITH s AS ({_bm25_sql('the of', 1000000)}) SELECT count(*) AS hits, count(*) FILTER (score = 0) AS zeros FROM s")
+def bm25_common_term(spark, d):
+    """A term in over half of the documents has weight 0; its documents are hits all the same."""
+    found = _hits(text_search.bm25(_documents(spark, d), "the of", 1000000))
+    return found.agg(F.count(F.lit(1)).alias("hits"), F.count(F.when(F.col("score") == 0, 1)).alias("zeros"))
+
+
+@query(_bm25_sql("heonthe reing"))
+def bm25_stored_index(spark, d):
+    docs = _documents(spark, d)
+    index = cut(spark, text_search.postings(docs))
+    return _hits(text_search.bm25_postings(index, text_search.corpus_stats(docs), "heonthe reing"))
+
+
+def _sparse(spark, d) -> DataFrame:
+    """Token counts of each document as a sparse vector over hashed terms."""
+    words = text_search.postings(_documents(spark, d)).groupBy("id", F.crc32("term").cast("bigint").alias("i")).agg(F.sum("tf").cast("float").alias("v"))
+    z = words.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("z"))
+    own = F.struct(F.transform("z", lambda x: x["i"]).alias("indices"), F.transform("z", lambda x: x["v"]).alias("values"))
+    return z.select("id", F.create_map(F.lit("default"), own).alias("sparse"))
+
+
+@query(
+    f"""WITH t AS (SELECT doc_id, unnest({_TOKENS}) AS term FROM documents)
+SELECT doc_id AS id, round(sum(CASE term WHEN 'tion' THEN 2.0 WHEN 'hean' THEN 1.5 ELSE -0.5 END), 6) AS score FROM t WHERE term IN ('tion', 'hean', 'reing') GROUP BY doc_id HAVING score > 0 ORDER BY score DESC, doc_id LIMIT 10"""
+)
+def sparse_search(spark, d):
+    import zlib
+
+    weights = [(zlib.crc32(w.encode()), x) for w, x in (("tion", 2.0), ("hean", 1.5), ("reing", -0.5))]
+    return _hits(search.sparse_search(_sparse(spark, d), weights))
+
+
+@query(ORACLES["sparse_search"])
+def sparse_search_postings(spark, d):
+    asked = spark.createDataFrame([("tion", 2.0), ("hean", 1.5), ("reing", -0.5)], "index string, value double")
+    index = text_search.postings(_documents(spark, d)).select("id", F.col("term").alias("index"), F.col("tf").alias("value"))
+    return _hits(search.sparse_search_postings(index, asked))
+
+
+@query(
+    f"""WITH a AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS r FROM ({_bm25_sql('heonthe reing', 20)})),
+b AS (SELECT vec_id AS id, row_number() OVER (ORDER BY s DESC, vec_id) AS r FROM (SELECT vec_id, {_COS} AS s FROM embeddings) QUALIFY r <= 20)
+SELECT id, round(sum(1.0 / (r + 1)), 6) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY id ORDER BY sum(1.0 / (r + 1)) DESC, id LIMIT 10"""
+)
+def rrf_hybrid(spark, d):
+    """A text leg over documents and a vector leg over embeddings, fused by id. The text leg's ranks are those of its rounded scores."""
+    text = _hits(text_search.bm25(_documents(spark, d), "heonthe reing", 20))
+    vectors = search.knn(_vectors(spark, d), _vector_of(spark, d), 20).select("id", "score")
+    return _hits(fusion.rrf([text, vectors], 10))
+
+
+# -- filters
+@query("SELECT doc_id AS id FROM documents WHERE contains(lower(text), 'scum') OR contains(lower(text), 'moron')")
+def filter_text_any(spark, d):
+    return search.filtered(_documents(spark, d), {"must": [{"key": "text", "match": {"text": "Scum MORON"}}]}).select("id")
+
+
+@query("SELECT o_orderkey AS id FROM orders WHERE o_orderkey IN (1, 7, 32, 100)")
+def filter_has_id(spark, d):
+    return search.filtered(_orders(spark, d), {"must": [{"has_id": [1, "7", 32, 100]}]}).select(F.col("o_orderkey").alias("id"))
+
+
+def _orders(spark, d) -> DataFrame:
+    return table(spark, d, "orders").withColumns({"id": F.col("o_orderkey").cast("string"), "id_num": F.col("o_orderkey")})
+
+
+_BOOL = {"must": [{"key": "o_totalprice", "range": {"gte": 100000, "lt": 300000}}, {"should": [{"key": "o_orderstatus", "match": {"value": "F"}}, {"must": [{"key": "o_orderpriority", "match": {"any": ["1-URGENT", "2-HIGH"]}}, {"field": "o_custkey", "operator": "gt", "value": 50}]}]}], "must_not": [{"key": "o_custkey", "match": {"value": 7}}]}
+
+
+@query("SELECT o_orderkey AS id FROM orders WHERE o_totalprice >= 100000 AND o_totalprice < 300000 AND (o_orderstatus = 'F' OR (o_orderpriority IN ('1-URGENT', '2-HIGH') AND o_custkey > 50)) AND o_custkey <> 7")
+def filter_bool_nested(spark, d):
+    return search.filtered(_orders(spark, d), _BOOL).select(F.col("o_orderkey").alias("id"))
+
+
+@query("SELECT event_id AS id FROM events WHERE json_extract_string(props, '$.k')::INT > 50 AND json_extract_string(props, '$.k')::INT <= 60")
+def filter_json_path(spark, d):
+    flt = {"must": [{"key": "k", "range": {"gt": 50, "lte": 60}}]}
+    return search.filtered(table(spark, d, "events"), flt, filters.Json("props")).select(F.col("event_id").alias("id"))
+
+
+@query("SELECT event_id AS id FROM events WHERE json_extract_string(props, '$.k') IN ('3', '5') OR event_type = 'zzz'")
+def filter_json_any(spark, d):
+    return search.filtered(table(spark, d, "events"), {"must": [{"key": "k", "match": {"any": [3, 5, "7"]}}]}, filters.Json("props")).select(F.col("event_id").alias("id"))
+
+
+def _nested(spark, d) -> DataFrame:
+    """Orders with their items as a list of objects."""
+    items = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_list(F.struct(F.col("l_returnflag").alias("flag"), F.col("l_linenumber").alias("number"))).alias("items"))
+    return items
+
+
+@query("SELECT DISTINCT l_orderkey AS id FROM lineitem WHERE l_returnflag = 'R' AND l_linenumber = 2")
+def filter_nested_element(spark, d):
+    flt = {"must": [{"nested": {"key": "items", "filter": {"must": [{"key": "flag", "match": {"value": "R"}}, {"key": "number", "match": {"value": 2}}]}}}]}
+    return search.filtered(_nested(spark, d), flt).select("id")
+
+
+@query("SELECT l_orderkey AS id FROM lineitem GROUP BY l_orderkey HAVING bool_or(l_returnflag = 'A') AND bool_or(l_linenumber = 5)")
+def filter_array_path(spark, d):
+    flt = {"must": [{"key": "items[].flag", "match": {"value": "A"}}, {"key": "items[].number", "match": {"any": [5]}}]}
+    return search.filtered(_nested(spark, d), flt).select("id")
+
+
+# -- aggregates
+@query("SELECT count(*) AS count FROM lineitem WHERE l_quantity >= 10 AND l_quantity <= 20 AND l_returnflag = 'R'")
+def count_filtered(spark, d):
+    return aggregate.count(table(spark, d, "lineitem"), {"must": [{"key": "l_quantity", "range": {"gte": 10, "lte": 20}}, {"key": "l_returnflag", "match": {"value": "R"}}]})
+
+
+@query("SELECT l_returnflag AS value, count(*) AS count FROM lineitem GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
+def facet_returnflag(spark, d):
+    return aggregate.facet(table(spark, d, "lineitem"), "l_returnflag")
+
+
+@query("SELECT event_type AS value, count(*) AS count FROM events WHERE value > 50 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 3")
+def facet_event_type(spark, d):
+    return aggregate.facet(table(spark, d, "events"), "event_type", 3, {"must": [{"key": "value", "range": {"gt": 50}}]})
+
+
+@query("SELECT json_extract_string(props, '$.k') AS value, count(*) AS count FROM events GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
+def facet_json(spark, d):
+    return aggregate.facet(table(spark, d, "events"), aggregate.json_facet_key("props", "$.k"))
+
+
+@query("SELECT conv_id::VARCHAR AS document, count(*) AS chunks, string_agg(turn::VARCHAR, ',' ORDER BY turn) AS ids FROM conversations GROUP BY conv_id")
+def documents_listing(spark, d):
+    own = table(spark, d, "conversations").select(F.col("turn").alias("id"), F.col("conv_id").cast("string").alias("conv"))
+    return aggregate.list_documents(own, "conv").withColumn("ids", F.array_join(F.transform("ids", lambda i: i.cast("string")), ","))
+
+
+@query("SELECT max(o_orderkey) AS max_id FROM orders")
+def max_point_id(spark, d):
+    return aggregate.max_id(_orders(spark, d))
+
+
+# -- paging
+@query("SELECT o_orderkey AS id, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 20")
+def scroll_first(spark, d):
+    return paging.scroll(_orders(spark, d), limit=20).select(F.col("o_orderkey").alias("id"), "o_totalprice")
+
+
+@query("SELECT o_orderkey AS id, o_totalprice FROM orders WHERE o_orderkey > 100 ORDER BY o_orderkey LIMIT 20")
+def scroll_next(spark, d):
+    return paging.scroll(_orders(spark, d), 100, 20).select(F.col("o_orderkey").alias("id"), "o_totalprice")
+
+
+@query("SELECT o_orderkey AS id, o_totalprice FROM orders WHERE o_orderkey > 50 AND o_orderstatus = 'F' ORDER BY o_orderkey LIMIT 20")
+def scroll_filtered(spark, d):
+    return paging.scroll(_orders(spark, d), 50, 20, {"must": [{"key": "o_orderstatus", "match": {"value": "F"}}]}).select(F.col("o_orderkey").alias("id"), "o_totalprice")
+
+
+@query("SELECT c_custkey AS id, c_name, p::INT AS position FROM customer JOIN (VALUES (9, 0), (3, 1), (7, 3)) v(k, p) ON c_custkey = k")
+def get_by_ids(spark, d):
+    own = table(spark, d, "customer").withColumnRenamed("c_custkey", "id")
+    return paging.get_by_ids(own, [9, 3, -1, 7]).select("id", "c_name", "position")
+
+
+# -- mutations
+_UPSERTED = """WITH w AS (SELECT o_orderkey, o_totalprice, 0 AS ord FROM orders WHERE o_orderkey % 3 <> 0
+  UNION ALL SELECT o_orderkey, o_totalprice + 1, 1 FROM orders WHERE o_orderkey % 2 = 0
+  UNION ALL SELECT o_orderkey, o_totalprice + 2, 2 FROM orders WHERE o_orderkey % 4 = 0)
+SELECT o_orderkey AS id, round(max_by(o_totalprice, ord), 2) AS price, count(*) - 1 AS version FROM w GROUP BY o_orderkey"""
+
+
+@query(_UPSERTED)
+def upsert_versions(spark, d):
+    """A stored batch, then one batch in which some ids occur twice."""
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("price"))
+    stored = orders.where("id % 3 <> 0").withColumn("version", F.lit(0).cast("bigint"))
+    batch = orders.where("id % 2 = 0").select("id", (F.col("price") + 1).alias("price"), F.lit(1).alias("n")).union(orders.where("id % 4 = 0").select("id", F.col("price") + 2, F.lit(2)))
+    return mutate.upsert(stored, batch, order_col="n").select("id", F.round("price", 2).alias("price"), "version")
+
+
+@query("SELECT o_orderkey AS id FROM orders WHERE o_custkey % 5 <> 0")
+def delete_by_ids(spark, d):
+    orders = _orders(spark, d)
+    gone = orders.where("o_custkey % 5 = 0").select("id")
+    return mutate.delete_by_ids(orders, gone).select(F.col("o_orderkey").alias("id"))
+
+
+@query("SELECT o_orderkey AS id FROM orders WHERE NOT (o_orderstatus = 'F' AND o_totalprice > 150000)")
+def delete_by_filter(spark, d):
+    return mutate.delete_by_filter(_orders(spark, d), {"must": [{"key": "o_orderstatus", "match": {"value": "F"}}, {"key": "o_totalprice", "range": {"gt": 150000}}]}).select(F.col("o_orderkey").alias("id"))
+
+
+def _customers(spark, d) -> DataFrame:
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("id"), "c_name", "c_mktsegment", "c_acctbal")
+
+
+_RICH = {"must": [{"key": "c_acctbal", "range": {"gt": 5000}}]}
+
+
+@query("SELECT c_custkey AS id, c_name, CASE WHEN c_acctbal > 5000 THEN 'RICH' ELSE c_mktsegment END AS c_mktsegment, c_acctbal FROM customer")
+def set_payload(spark, d):
+    return mutate.set_payload(_customers(spark, d), {"c_mktsegment": "RICH"}, flt=_RICH)
+
+
+@query("SELECT c_custkey AS id, CASE WHEN c_acctbal > 5000 THEN NULL ELSE c_name END AS c_name, CASE WHEN c_acctbal > 5000 THEN 'RICH' ELSE c_mktsegment END AS c_mktsegment, CASE WHEN c_acctbal > 5000 THEN NULL ELSE c_acctbal END AS c_acctbal FROM customer")
+def overwrite_payload(spark, d):
+    return mutate.overwrite_payload(_customers(spark, d), {"c_mktsegment": "RICH"}, flt=_RICH, payload=["c_name", "c_mktsegment", "c_acctbal"])
+
+
+@query("SELECT c_custkey AS id, c_name, CASE WHEN c_custkey IN (1, 2, 3) THEN NULL ELSE c_mktsegment END AS c_mktsegment, c_acctbal FROM customer")
+def delete_keys(spark, d):
+    return mutate.delete_payload_keys(_customers(spark, d), ["c_mktsegment"], ids=[1, 2, 3])
+
+
+@query("SELECT c_custkey AS id, CASE WHEN c_acctbal > 5000 THEN NULL ELSE c_name END AS c_name, CASE WHEN c_acctbal > 5000 THEN NULL ELSE c_mktsegment END AS c_mktsegment, CASE WHEN c_acctbal > 5000 THEN NULL ELSE c_acctbal END AS c_acctbal FROM customer")
+def clear_payload(spark, d):
+    return mutate.clear_payload(_customers(spark, d), ["c_name", "c_mktsegment", "c_acctbal"], flt=_RICH)
+
+
+@query("SELECT vec_id AS id, round(list_sum(CASE WHEN vec_id % 7 = 0 THEN list_transform(embedding, lambda x: x::DOUBLE * 2) ELSE embedding::DOUBLE[] END), 5) AS total FROM embeddings")
+def update_vector(spark, d):
+    points = _vectors(spark, d)
+    new = points.where("id % 7 = 0").select("id", vm.scale(F.col("vector"), 2.0).alias("vector"))
+    own = mutate.update_vectors(points, new)
+    return own.select("id", F.round(F.aggregate(vm.doubles(F.col("vector")), F.lit(0.0), lambda a, x: a + x), 5).alias("total"))
+
+
+@query("WITH b AS (SELECT c_custkey AS id, c_name, CASE WHEN c_custkey IN (4, 5) THEN 'X' ELSE c_mktsegment END AS c_mktsegment, c_acctbal FROM customer WHERE c_custkey NOT IN (1, 2)) SELECT id, c_name, CASE WHEN id = 5 THEN NULL ELSE c_mktsegment END AS c_mktsegment, c_acctbal FROM b")
+def batch_update(spark, d):
+    points, _ = mutate.batch_update(_customers(spark, d), [{"delete": {"points": [1, 2]}}, {"set_payload": {"payload": {"c_mktsegment": "X"}, "points": [4, 5]}}, {"delete_payload": {"keys": ["c_mktsegment"], "points": [5]}}])
+    return points
+
+
+@query("SELECT count(*) AS affected FROM customer WHERE c_acctbal > 5000")
+def affected_rows(spark, d):
+    return mutate.affected(_customers(spark, d), flt=_RICH)
+
+
+# -- vector functions
+@query(f"SELECT vec_id AS id, round(list_dot_product({_V}, {_V}), 9) AS norm_squared, round(sqrt(list_dot_product({_V}, {_V})), 9) AS norm FROM embeddings")
+def vector_norms(spark, d):
+    v = F.col("vector")
+    return _vectors(spark, d).select("id", F.round(vm.norm_squared(v), 9).alias("norm_squared"), F.round(vm.norm(v), 9).alias("norm"))
+
+
+@query(f"SELECT vec_id AS id, round(list_dot_product(u, u), 9) AS norm_squared, round(u[1], 9) AS first FROM (SELECT vec_id, list_transform({_V}, lambda x: x * 3 / sqrt(list_dot_product({_V}, {_V}) * 9)) AS u FROM embeddings)")
+def vector_normalize(spark, d):
+    own = _vectors(spark, d).select("id", vm.normalize(vm.scale(F.col("vector"), 3.0)).alias("u"))
+    return own.select("id", F.round(vm.norm_squared(F.col("u")), 9).alias("norm_squared"), F.round(F.get("u", F.lit(0)), 9).alias("first"))
+
+
+@query("SELECT label, (pos - 1)::INT AS pos, round(avg(x), 6) AS mean FROM (SELECT label, unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings) GROUP BY label, pos")
+def vector_mean(spark, d):
+    means = vm.vector_mean(_vectors(spark, d), "vector", ["label"])
+    return means.select("label", F.posexplode("mean").alias("pos", "m")).select("label", "pos", F.round("m", 6).alias("mean"))
+
+
+@query(f"SELECT vec_id AS id, round(list_sum(list_transform(list_zip({_V}, {_Q0}), lambda z: (z[1] + z[2]) - (z[1] - z[2]) * 0.5)), 6) AS total FROM embeddings")
+def vector_arithmetic(spark, d):
+    q = vm.literal_vector(_vector_of(spark, d))
+    v = F.col("vector")
+    out = vm.subtract(vm.add(v, q), vm.scale(vm.subtract(v, q), 0.5))
+    return _vectors(spark, d).select("id", F.round(F.aggregate(out, F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+
+
+# -- examples' functions
+@query("SELECT p_partkey AS id, concat_ws('. ', 'p_name: ' || p_name, 'p_brand: ' || p_brand, 'p_type: ' || p_type) AS text FROM part")
+def composite_text(spark, d):
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), textfn.composite_text(["p_name", "p_brand", "p_type"]).alias("text"))
+
+
+@query()
+def chunk_text(spark, d):
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    return textfn.chunk_text(docs).select("id", "chunk_index", "chunk")
+
+
+@query(f"WITH h AS ({_bm25_sql('heonthe reing', 3)}) SELECT string_agg(text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY score DESC, id) AS context FROM h JOIN documents ON doc_id = id")
+def rag_context(spark, d):
+    docs = _documents(spark, d)
+    hits = _hits(text_search.bm25(docs, "heonthe reing", 3)).join(docs.select("id", "text"), "id")
+    return textfn.rag_context(hits, "text")
+
+
+@query()
+def page_text(spark, d):
+    return table(spark, d, "pages").select(F.col("page_id").alias("id"), "url", ingest.html_text(F.col("html")).alias("text"))
+
+
+# -- tables and indexes
+@query("SELECT vec_id::VARCHAR AS id, vec_id AS id_num, 0::BIGINT AS version, label FROM embeddings")
+def snapshot_roundtrip(spark, d):
+    """Into a collection, a snapshot of it, and the collection recovered from that."""
+    from pointsmith.operators.points import CollectionConfig
+    from pointsmith.session import shared_dir
+    from pointsmith.sources.catalog import Catalog
+    import uuid
+
+    catalog = Catalog(spark, f"{shared_dir(spark).rstrip('/')}/catalog-{uuid.uuid4().hex}")
+    catalog.create_collection(CollectionConfig("vectors", 64))
+    catalog.write("vectors", as_points(table(spark, d, "embeddings"), "vec_id", "embedding"))
+    label = catalog.create_snapshot("vectors")
+    catalog.write("vectors", catalog.points("vectors").where("id_num < 10"))
+    catalog.recover_snapshot("vectors", label)
+    return catalog.points("vectors").select("id", "id_num", "version", "payload.label")
+
+
+@query()
+def ann_ivf(spark, d):
+    from pointsmith.operators import ann
+    from pointsmith.session import shared_dir
+    import uuid
+
+    path = f"{shared_dir(spark).rstrip('/')}/ann-{uuid.uuid4().hex}"
+    centres = ann.build(_vectors(spark, d), path)
+    index = spark.read.parquet(f"{path}/cells")
+    return _hits(ann.search(index, centres, _vector_of(spark, d), probes=max(8, len(centres) // 3)))
+
+
+@query("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
+def stream_windowed_counts(spark, d):
+    """Events as a stream, counted by the hour and type until the input is used up."""
+    import uuid
+
+    from pointsmith.session import shared_dir
+    from pointsmith.streaming.upserts import windowed_counts
+
+    schema = table(spark, d, "events").schema
+    base = f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d).withColumn("at", F.col("ts").cast("timestamp"))
+    name = f"counts_{uuid.uuid4().hex}"
+    q = windowed_counts(stream, "at", "event_type", late="0 seconds").writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", base).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.table(name).select(F.date_format("start", "yyyy-MM-dd HH").alias("start"), "event_type", "n")
