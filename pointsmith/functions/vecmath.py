@@ -120,15 +120,8 @@ def max_sim_l2(query: Column, doc: Column) -> Column:
     return F.when(_same_width(query, doc), best).otherwise(F.lit(float("-inf")))
 
 
-def sparse_map(sparse: Column) -> Column:
-    """A sparse vector as a map from index to value; the last of repeated indices counts, surplus entries don't."""
-    pairs = F.arrays_zip(F.slice(sparse["indices"], 1, F.least(F.size(sparse["indices"]), F.size(sparse["values"]))).alias("i"), F.slice(sparse["values"], 1, F.least(F.size(sparse["indices"]), F.size(sparse["values"]))).alias("v"))
-    later = F.filter(pairs, lambda p, at: ~F.exists(F.slice(pairs, at + 2, F.greatest(F.size(pairs), F.lit(1))), lambda q: q["i"] == p["i"]))
-    return F.map_from_entries(later)
-
-
 def sparse_dot(doc: Column, query: dict[int, float] | list[tuple[int, float]]) -> Column:
-    """Inner product of a sparse column with a query; repeated query indices add up."""
+    """Inner product of a sparse column {indices, values} with a query; repeated query indices add up, surplus entries don't count."""
     pairs = query.items() if isinstance(query, dict) else query
     total: dict[int, float] = {}
     for i, v in pairs:
@@ -136,9 +129,16 @@ def sparse_dot(doc: Column, query: dict[int, float] | list[tuple[int, float]]) -
     if not total:
         return F.lit(0.0)
     weights = F.create_map(*[F.lit(x) for i, v in sorted(total.items()) for x in (i, v)]).cast("map<bigint,double>")
-    owned = sparse_map(doc)
-    hits = F.transform(F.map_entries(owned), lambda e: e["value"].cast("double") * F.coalesce(F.try_element_at(weights, e["key"].cast("bigint")), F.lit(0.0)))
-    return _sum(hits)
+    pairs = F.zip_with(doc["indices"], doc["values"], lambda i, v: F.struct(i.cast("bigint").alias("i"), v.cast("double").alias("v")))
+    wanted = F.filter(pairs, lambda p: p["i"].isin(list(total)) & p["v"].isNotNull())
+
+    def last(hits: Column) -> Column:
+        """Of repeated indices the last counts."""
+        kept = F.filter(hits, lambda p, at: ~F.exists(F.slice(hits, at + 2, F.size(hits)), lambda q: q["i"] == p["i"]))
+        return F.transform(kept, lambda p: p["v"] * F.element_at(weights, p["i"]))
+
+    # A lambda's variable holds the few hits, so they are found once.
+    return _sum(F.get(F.transform(F.array(wanted), last), F.lit(0)))
 
 
 def vector_mean(df: DataFrame, vector: str, by: list[str] | None = None) -> DataFrame:
