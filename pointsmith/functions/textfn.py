@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.column import Column
 
 from pointsmith.session import ship
@@ -65,7 +66,7 @@ def hash_embedding(text: str, dim: int = 64) -> list[float]:
     return (v / n if n else v).tolist()
 
 
-def embed(df: DataFrame, text_col: str, embedder=None, dim: int = 64, batch: int = 100, out: str = "vector") -> DataFrame:
+def embed(df: DataFrame, text_col: str = "text", embedder=None, dim: int = 64, batch: int = 100, out: str = "vector") -> DataFrame:
     """df with a vector of each text. embedder: list of texts -> list of vectors, called with at most `batch`; blank texts get zeros."""
     ship(df.sparkSession)
     call = embedder or (lambda texts: [hash_embedding(t, dim) for t in texts])
@@ -82,7 +83,7 @@ def embed(df: DataFrame, text_col: str, embedder=None, dim: int = 64, batch: int
                     vectors[i] = [float(x) for x in v]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(vectors, pa.list_(pa.float32()))], [*b.schema.names, out])
 
-    schema = df.schema.add(out, "array<float>")
+    schema = T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.FloatType()))])
     return df.mapInArrow(run, schema)
 
 

@@ -89,7 +89,7 @@ def is_multivector(mv: Column) -> Column:
 
 def as_multivector(mv: Column, v: Column) -> Column:
     """mv, or the dense vector as its only row."""
-    return F.coalesce(mv, F.array(v))
+    return F.coalesce(mv, F.when(v.isNotNull(), F.array(v)))
 
 
 def _best_sum(query: Column, doc: Column, pick) -> Column:

@@ -1,8 +1,8 @@
 """The payload filter language, compiled to Columns.
 
 A filter is {must, should, must_not} of conditions: {key, match: {value | any | text}}, {key, range: {gt, gte, lt, lte}},
-{has_id}, {nested: {key, filter}}, a group again, or the legacy {field, value, operator}. Logic is two-valued: every
-leaf is true or false, never null. Paths are a.b.c through objects and list[].field through lists.
+{has_id}, {nested: {key, filter}}, a group again, or the legacy {field, value, operator}. Logic is two-valued: null
+counts as false, also under a negation. Paths are a.b.c through objects and list[].field through lists.
 
 Two resolvers give a path its value: typed columns (comparisons stay plain predicates, so they reach the scan), and a
 VARIANT or JSON-text column, where the kind of each value is looked at first.
@@ -16,11 +16,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.column import Column
 
-TRUE, FALSE = F.lit(True), F.lit(False)
 _BOUNDS = {"gt": Column.__gt__, "gte": Column.__ge__, "lt": Column.__lt__, "lte": Column.__le__}
 
 
-def _known(c: Column) -> Column:
+def certain(c: Column) -> Column:
+    """Null is false. Needed under a negation only: a filter keeps true rows, and a bare predicate reaches the scan."""
     return F.coalesce(c, F.lit(False))
 
 
@@ -45,7 +45,7 @@ def _kind(value: object) -> str:
 
 
 def _text(col: Column, query: str) -> Column:
-    return _known(_any([F.contains(F.lower(col), F.lit(w.lower())) for w in query.split()]))
+    return _any([F.contains(F.lower(col), F.lit(w.lower())) for w in query.split()])
 
 
 class Typed:
@@ -86,38 +86,38 @@ class Typed:
     def eq(self, value: object) -> Column:
         own, other = self._is(), _kind(value)
         if own == "missing":
-            return FALSE
+            return F.lit(False)
         if other == "null":
             return self.col.isNull()
         if own == "list":
             kind = self.type.elementType
-            return _known(F.exists(self.col, lambda e: Typed(e, kind).eq(value) if other != "list" else _any([Typed(e, kind).eq(v) for v in value])))
+            return F.exists(self.col, lambda e: Typed(e, kind).eq(value) if other != "list" else _any([Typed(e, kind).eq(v) for v in value]))
         if other == "list":
             return _any([self.eq(v) for v in value])
         if own != other or own == "object":
-            return FALSE
-        return _known(self.col == F.lit(value))
+            return F.lit(False)
+        return self.col == F.lit(value)
 
     def any(self, values: list) -> Column:
         own = self._is()
         if own in ("number", "string", "bool") and values and all(_kind(v) == own for v in values):
-            return _known(self.col.isin(list(values)))
+            return self.col.isin(list(values))
         return _any([self.eq(v) for v in values])
 
     def text(self, query: str) -> Column:
-        return _text(self.col, query) if self._is() == "string" else FALSE
+        return _text(self.col, query) if self._is() == "string" else F.lit(False)
 
     def range(self, bounds: dict) -> Column:
         if self._is() != "number":
-            return FALSE
+            return F.lit(False)
         given = [_BOUNDS[k](self.col, F.lit(v)) for k, v in bounds.items() if k in _BOUNDS and v is not None]
-        return _known(_all([self.col.isNotNull(), *given]))
+        return _all([self.col.isNotNull(), *given])
 
     def exists(self, body) -> Column:
         if not isinstance(self.type, T.ArrayType):
-            return FALSE
+            return F.lit(False)
         kind = self.type.elementType
-        return _known(F.exists(self.col, lambda e: body(Typed(e, kind))))
+        return F.exists(self.col, lambda e: body(Typed(e, kind)))
 
 
 _NUMBERS = r"^(BIGINT|INT|SMALLINT|TINYINT|FLOAT|DOUBLE|DECIMAL.*)$"
@@ -144,33 +144,33 @@ class Variant:
     def _scalar(self, value: object) -> Column:
         kind, other = self._kind(), _kind(value)
         if other == "null":
-            return _known(F.is_variant_null(self.col))
+            return F.is_variant_null(self.col)
         if other == "bool":
-            return _known((kind == "BOOLEAN") & (F.try_variant_get(self.col, "$", "boolean") == F.lit(value)))
+            return (kind == "BOOLEAN") & (F.try_variant_get(self.col, "$", "boolean") == F.lit(value))
         if other == "number":
-            return _known(F.rlike(kind, F.lit(_NUMBERS)) & (F.try_variant_get(self.col, "$", "double") == F.lit(float(value))))
+            return F.rlike(kind, F.lit(_NUMBERS)) & (F.try_variant_get(self.col, "$", "double") == F.lit(float(value)))
         if other == "string":
-            return _known((kind == "STRING") & (F.try_variant_get(self.col, "$", "string") == F.lit(value)))
-        return FALSE
+            return (kind == "STRING") & (F.try_variant_get(self.col, "$", "string") == F.lit(value))
+        return F.lit(False)
 
     def eq(self, value: object) -> Column:
         values = list(value) if _kind(value) == "list" else [value]
         inside = F.exists(self._list(), lambda e: _any([Variant(e)._scalar(v) for v in values]))
-        return _any([self._scalar(v) for v in values]) | _known(inside)
+        return _any([self._scalar(v) for v in values]) | inside
 
     def any(self, values: list) -> Column:
         return _any([self.eq(v) for v in values])
 
     def text(self, query: str) -> Column:
-        return _known(self._kind() == "STRING") & _text(F.try_variant_get(self.col, "$", "string"), query)
+        return (self._kind() == "STRING") & _text(F.try_variant_get(self.col, "$", "string"), query)
 
     def range(self, bounds: dict) -> Column:
         n = F.try_variant_get(self.col, "$", "double")
         given = [_BOUNDS[k](n, F.lit(float(v))) for k, v in bounds.items() if k in _BOUNDS and v is not None]
-        return _known(F.rlike(self._kind(), F.lit(_NUMBERS)) & _all([n.isNotNull(), *given]))
+        return F.rlike(self._kind(), F.lit(_NUMBERS)) & _all([n.isNotNull(), *given])
 
     def exists(self, body) -> Column:
-        return _known(F.exists(self._list(), lambda e: body(Variant(e))))
+        return F.exists(self._list(), lambda e: body(Variant(e)))
 
 
 class VariantList(Variant):
@@ -183,13 +183,13 @@ class VariantList(Variant):
         return self.col
 
     def _scalar(self, value: object) -> Column:
-        return FALSE
+        return F.lit(False)
 
     def text(self, query: str) -> Column:
-        return FALSE
+        return F.lit(False)
 
     def range(self, bounds: dict) -> Column:
-        return FALSE
+        return F.lit(False)
 
 
 def resolve(root: Typed | Variant, path: str):
@@ -246,7 +246,7 @@ def _groups(node: dict, condition) -> Column:
     parts = [condition(c) for c in _listed(node.get("must"))]
     if some := _listed(node.get("should")):
         parts.append(_any([condition(c) for c in some]))
-    parts += [~condition(c) for c in _listed(node.get("must_not"))]
+    parts += [~certain(condition(c)) for c in _listed(node.get("must_not"))]
     return _all(parts)
 
 
@@ -271,7 +271,7 @@ def _legacy(node: dict, get) -> Column:
     if op not in _LEGACY:
         return F.lit(False)
     if op == "ne":
-        return ~value.eq(node["value"])
+        return ~certain(value.eq(node["value"]))
     return value.eq(node["value"]) if op == "eq" else value.range({_LEGACY[op]: node["value"]}) if _kind(node["value"]) == "number" else F.lit(False)
 
 
@@ -279,7 +279,7 @@ def _condition(node: object, get, id_col: str) -> Column:
     if not isinstance(node, dict):
         return F.lit(False)
     if "has_id" in node:
-        return _known(F.col(id_col).cast("string").isin([str(i) for i in _listed(node["has_id"])]))
+        return F.col(id_col).cast("string").isin([str(i) for i in _listed(node["has_id"])])
     if "nested" in node:
         inner = node["nested"]
         return get(inner["key"]).exists(lambda e: _groups(inner.get("filter") or {}, lambda c: _element(c, e)))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 from pyspark.sql.window import Window
 
-from .filters import Columns, compile_filter
+from .filters import Columns, certain, compile_filter
 
 
 def upsert(current: DataFrame, incoming: DataFrame, id_col: str = "id", order_col: str | None = None) -> DataFrame:
@@ -45,7 +45,7 @@ def delete_by_ids(points: DataFrame, ids: list | DataFrame, id_col: str = "id")
 
 
 def delete_by_filter(points: DataFrame, flt: dict, get=None, id_col: str = "id") -> DataFrame:
-    return points.where(~compile_filter(flt, get or Columns(points.schema), id_col))
+    return points.where(~certain(compile_filter(flt, get or Columns(points.schema), id_col)))
 
 
 def _edit(points: DataFrame, changes: dict[str, Column], chosen: Column) -> DataFrame:

@@ -7,7 +7,6 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.column import Column
 
 from pointsmith.functions import vecmath as vm
@@ -15,7 +14,7 @@ from pointsmith.functions import vecmath as vm
 DISTANCES = ("Cosine", "Euclidean", "Dot")
 INDEX_TYPES = ("keyword", "integer", "float", "bool", "geo", "text")
 
-POINTS = T._parse_datatype_string("id string, id_num bigint, version bigint, vector array<float>, multivector array<array<float>>, sparse map<string,struct<indices:array<bigint>,values:array<float>>>, payload string")
+POINTS = "id string, id_num bigint, version bigint, vector array<float>, multivector array<array<float>>, sparse map<string,struct<indices:array<bigint>,values:array<float>>>, payload string"
 
 
 @dataclass
@@ -35,7 +34,7 @@ class CollectionConfig:
 def id_number(id_col: Column) -> Column:
     """The id as a number, null where it is none; ids from 2^63 wrap around."""
     n = F.when(F.rlike(id_col, F.lit("^[0-9]{1,20}$")), id_col.try_cast("decimal(20,0)"))
-    wrapped = F.when(n >= F.lit(2**63).cast("decimal(20,0)"), n - F.lit(2**64).cast("decimal(21,0)")).otherwise(n)
+    wrapped = F.when(n >= F.lit(str(2**63)).cast("decimal(20,0)"), n - F.lit(str(2**64)).cast("decimal(21,0)")).otherwise(n)
     return wrapped.try_cast("bigint")
 
 

@@ -118,9 +118,10 @@ def multivector_search(points: DataFrame, query: list[list[float]], limit: int =
     """Late interaction; points with a dense vector only count as multivectors of one row."""
     kept = filtered(points, flt, get, id_col)
     own = vm.as_multivector(F.col(multivector), F.col(vector)) if vector else F.col(multivector)
+    kept = kept.where(own.isNotNull())
     q = F.lit([[float(x) for x in r] for r in query])
     measure = {"Dot": vm.max_sim, "Cosine": vm.max_sim_cosine, "Euclidean": vm.max_sim_l2}[distance]
-    return top_k(kept.withColumn("score", measure(q, own)).where("score is not null"), limit, id_col=id_col)
+    return top_k(kept.withColumn("score", measure(q, own)), limit, id_col=id_col)
 
 
 def search_groups(points: DataFrame, query: list[float], group_by: str, limit: int = 5, group_size: int = 3, distance: str = "Cosine", flt: dict | None = None, vector: str = "vector", id_col: str = "id", get=None) -> DataFrame:

@@ -38,7 +38,8 @@ def read_csv(spark: SparkSession, path: str, typed: bool = True) -> DataFrame:
     typed: a column whose cells are all of one kind gets that type; mixed ones stay text. Kinds are found by one pass
     of aggregates, and the file is read by Spark, in splits.
     """
-    df = spark.read.csv(path, header=True, mode="DROPMALFORMED", ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, enforceSchema=False)
+    # Without pruning, as a row whose cells aren't read is not seen to be malformed.
+    df = spark.read.option("columnPruning", False).csv(path, header=True, mode="DROPMALFORMED", ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, enforceSchema=False)
     if not typed or not df.columns:
         return df
     kinds = df.agg(*[F.array_sort(F.collect_set(sniff(F.col(f"`{c}`")))).alias(f"k{i}") for i, c in enumerate(df.columns)]).first()
@@ -68,7 +69,7 @@ def html_text(html: Column) -> Column:
     plain = F.regexp_replace(F.regexp_replace(body, r"(?i)<(br|/p|/div|/li|/h[1-6]|/tr)\b[^>]*>", "\n"), r"<[^>]*>", " ")
     for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         plain = F.replace(plain, F.lit(entity), F.lit(char))
-    return F.trim(F.regexp_replace(F.regexp_replace(plain, r"[ \t]+", " "), r" ?\n[ \n]*", "\n"))
+    return F.trim(F.regexp_replace(F.regexp_replace(plain, r"[ \t]+", " "), r" ?\n[ \n]*", "\n"), F.lit(" \n"))
 
 
 def docx_text(data: bytes) -> str:
