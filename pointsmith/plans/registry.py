@@ -271,7 +271,7 @@ def _sparse(spark, d) -> DataFrame:
 
 @query(
     f"""WITH t AS (SELECT doc_id, unnest({_TOKENS}) AS term FROM documents)
-SELECT doc_id AS id, round(sum(CASE term WHEN 'tion' THEN 2.0 WHEN 'hean' THEN 1.5 ELSE -0.5 END), 6) AS score FROM t WHERE term IN ('tion', 'hean', 'reing') GROUP BY doc_id HAVING score > 0 ORDER BY score DESC, doc_id LIMIT 10"""
+SELECT doc_id AS id, round(sum(CASE term WHEN 'tion' THEN 2.0 WHEN 'hean' THEN 1.5 ELSE -0.5 END)::DOUBLE, 6) AS score FROM t WHERE term IN ('tion', 'hean', 'reing') GROUP BY doc_id HAVING score > 0 ORDER BY score DESC, doc_id LIMIT 10"""
 )
 def sparse_search(spark, d):
     import zlib

@@ -12,17 +12,18 @@ from pyspark.sql.column import Column
 def read_points_json(spark: SparkSession, path: str) -> DataFrame:
     """Points of a JSON-lines file of {id, vector, payload}; payload as JSON text, vectors in any accepted form.
 
-    Shapes are told apart by parsing the vector's text against one schema after another.
+    Shapes are told apart by how the vector's text begins.
     """
     raw = spark.read.schema("id string, vector string, payload string").json(path)
-    dense = F.from_json("vector", "array<float>")
-    rows = F.from_json("vector", "array<array<float>>")
-    named = F.from_json("vector", "map<string,struct<indices:array<bigint>,values:array<float>>>")
-    is_rows, is_dense, is_object = (F.rlike(F.col("vector"), F.lit(p)) for p in (r"^\s*\[\s*\[", r"^\s*\[\s*[^\[\]\s]", r"^\s*\{"))
-    one = F.from_json("vector", "indices array<bigint>, values array<float>")
-    single = F.rlike(F.col("vector"), F.lit(r'^\s*\{\s*"(indices|values)"'))
-    sparse = F.when(single, F.create_map(F.lit("default"), one)).when(is_object, F.map_filter(named, lambda k, v: v["indices"].isNotNull()))
-    last_dense = F.element_at(F.filter(F.map_values(F.from_json("vector", "map<string,array<float>>")), lambda v: v.isNotNull()), -1)
+    v = F.try_parse_json(F.col("vector"))
+    pair = "struct<indices:array<bigint>,values:array<float>>"
+    is_rows, is_dense, is_object, single = (F.rlike(F.col("vector"), F.lit(p)) for p in (r"^\s*\[\s*\[", r"^\s*\[\s*[^\[\]\s]", r"^\s*\{", r'^\s*\{\s*"(indices|values)"'))
+    dense, rows = F.try_variant_get(v, "$", "array<float>"), F.try_variant_get(v, "$", "array<array<float>>")
+    # Each entry of an object by itself: sparse ones keep their names, of the dense ones the last counts.
+    named = F.try_variant_get(v, "$", "map<string,variant>")
+    pairs = F.map_filter(F.transform_values(named, lambda k, x: F.try_variant_get(x, "$", pair)), lambda k, x: x["indices"].isNotNull())
+    sparse = F.when(single, F.create_map(F.lit("default"), F.try_variant_get(v, "$", pair))).when(is_object & (F.size(pairs) > 0), pairs)
+    last_dense = F.try_element_at(F.filter(F.transform(F.map_values(named), lambda x: F.try_variant_get(x, "$", "array<float>")), lambda x: x.isNotNull()), F.lit(-1))
     return raw.select("id", F.col("id").try_cast("bigint").alias("id_num"), F.lit(None).cast("bigint").alias("version"), F.when(is_dense, dense).when(is_rows, F.get(rows, F.lit(0))).when(is_object & ~single, last_dense).alias("vector"), F.when(is_rows, rows).alias("multivector"), sparse.alias("sparse"), "payload")
 
 
