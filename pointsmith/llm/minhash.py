@@ -3,7 +3,7 @@
 A text's shingles are five consecutive words (white-space separated, A-Z lower-cased; a shorter text is one shingle),
 each labelled with its occurrence number, so that all are different. A sketch takes the four shingles least under one
 hash function, in text order; a text has 32 sketches. Texts that agree in a sketch share a bucket. Two texts of
-similarity 0.8 agree in a given sketch with a chance of about 0.41, so in none, or in one alone, with one of 1e-6.
+similarity 0.8 agree in a given sketch with a chance of about 0.41, so in fewer than three with one of 1e-5.
 
 Similarity is that of an alignment: the longest common subsequence of labelled shingles within a band as wide as 0.8
 allows, over the shingles of both less those in common. Links are pairs of 0.8 or more; classes their components.
@@ -11,8 +11,10 @@ allows, over the shingles of both less those in common. Links are pairs of 0.8 o
 Scale: exact copies are folded first, by 128-bit hashes, with map-side aggregates. Buckets are no all-pairs: each member
 is held against the bucket's smallest id, found by an aggregate, and links make components. Only buckets that then
 still hold several components go on: small ones with all pairs across components, large ones with another member as
-hub, and then, split by a second sketch that a pair must share, with all pairs across components. Nothing is capped or
-dropped. Pairs must agree in two sketches before texts are read; those texts are picked by a bitmap of fixed size
+hub. What is still open in a large bucket is settled block against block of bounded size: sketches are compared as
+arrays, each pair in the first bucket that it shares, and only links that join components come out: no row a pair.
+Buckets without dense groups are far from a second block. Nothing is capped or
+dropped. Pairs must agree in three sketches before texts are read; those texts are picked by a bitmap of fixed size
 and an exact join.
 
 Defined results: every row gets a class, ids of null texts and of texts without words that of their exact copies; a
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointsmith.session import cut
+from pointsmith.session import cut, ship
 
 from . import textblocks as tb
 from .common import id_text, map_arrow
@@ -38,7 +40,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 SKETCHES = 32
 LEAST = 4
-AGREE = 2
+AGREE = 3
+BLOCK_SHINGLES = 2_000_000
 SMALL = 64
 BITMAP_BITS = 1 << 23
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -170,11 +173,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     copies = cut(spark, known.select("id", "k1", "k2").groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n_copies")))
     # One row for each text; joined by unique ids, so a text with very many copies is no hot key.
     reps = cut(spark, known.join(copies.select(F.col("rep").alias("id"), "k1", "k2"), ["id", "k1", "k2"], "left_semi").dropDuplicates(["id"]).select("id", "n", "keys"))
-    rep_rows = rows
     members = reps.select("id", F.explode("keys").alias("key"))
     sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("hub")).where("size > 1")
     shared = cut(spark, members.join(sizes, "key").select("key", "id", "size", "hub"))
-    links = cut(spark, verify(shared.where("id <> hub").selectExpr("hub AS a", "id AS b"), reps, rep_rows, least))
+    links = cut(spark, verify(shared.where("id <> hub").selectExpr("hub AS a", "id AS b"), reps, rows, least))
     for turn in (1, 2):
         classes = components(links.select("a", "b"))
         labelled = shared.join(classes.select(F.col("node").alias("id"), "class"), "id", "left").select("key", "id", "size", F.coalesce("class", "id").alias("class"))
@@ -185,14 +187,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         large = left.where(F.col("size") > SMALL)
         if turn == 1:
             more = _across(small).union(large.where("class <> hub_class").selectExpr("least(hub, id) AS a", "greatest(hub, id) AS b"))
+            more = cut(spark, more.distinct().join(links.selectExpr("a", "b"), ["a", "b"], "left_anti"))
+            found = verify(more, reps, rows, least)
         else:
-            # A pair that is to be found agrees in another sketch as well: split large buckets by it.
-            split = large.select("key", "id", "class").join(reps.select("id", F.explode("keys").alias("other")), "id").where("other <> key").select(F.xxhash64("key", "other").alias("key"), "id", "class")
-            more = _across(split)
-        more = cut(spark, more.distinct().join(links.selectExpr("a", "b"), ["a", "b"], "left_anti"))
-        if more.isEmpty():
-            break
-        links = cut(spark, links.union(verify(more, reps, rep_rows, least)).dropDuplicates(["a", "b"]))
+            found = _within_dense(large.select("key", "id", "class"), reps, rows, least)
+        links = cut(spark, links.union(found).dropDuplicates(["a", "b"]))
     classes = components(links.select("a", "b"))
     degree = links.selectExpr("a AS rep").union(links.selectExpr("b AS rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
     of_text = copies.join(classes.select(F.col("node").alias("rep"), "class"), "rep", "left").join(degree, "rep", "left").select("k1", "k2", F.coalesce("class", "rep").alias("class_id"), "n_copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
@@ -201,6 +200,56 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return found.select(F.col("id").alias("doc_id"), F.when(own, F.col("class_id")).alias("class_id"), F.when(own, F.col("n_copies")).otherwise(1).alias("n_copies"), F.when(own, F.col("n_links")).otherwise(0).alias("n_links"))
 
 
+def _within_dense(members: DataFrame, reps: DataFrame, rows: DataFrame, least: float) -> DataFrame:
+    """Links (a, b, similarity) that join components within large buckets; members: (key, id, class).
+
+    A bucket's members are dealt into blocks of about BLOCK_SHINGLES shingles, and each pair of blocks is one group.
+    """
+    spark = rows.sparkSession
+    kind = rows.schema["doc_id"].dataType.simpleString()
+
+    def packed(batches):
+        for batch in batches:
+            for lo, hi in tb.slices(batch.column(1)):
+                found = shingles(batch.column(1).slice(lo, hi - lo))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([x.tobytes() for x in found], pa.binary())], ["id", "shingles"])
+
+    ids = members.select("id").distinct()
+    texts = _picked(rows, ids).groupBy("doc_id").agg(F.first("text").alias("text")).join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
+    own = map_arrow(texts.select("doc_id", "text"), packed, f"id {kind}, shingles binary")
+    sized = members.join(reps, "id")
+    blocks = sized.groupBy("key").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
+    dealt = sized.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    full = dealt.join(own, "id").select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "id", "class", "keys", "shingles")
+
+    def settle(table: pa.Table) -> pa.Table:
+        table = table.sort_by("id")
+        key, same = table.column("key")[0].as_py(), table.column("lo")[0].as_py() == table.column("hi")[0].as_py()
+        keys = np.array(table.column("keys").to_pylist(), np.int64)
+        ids, block = table.column("id").to_pylist(), np.array(table.column("block").to_pylist())
+        texts = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
+        lengths = np.array([len(x) for x in texts])
+        mine = int(np.flatnonzero(keys[0] == key)[0])
+        _, root = np.unique(np.array(table.column("class").to_pylist(), object).astype(str), return_inverse=True)
+        out = []
+        for i in range(len(ids) - 1):
+            agree = keys[i + 1 :] == keys[i]
+            ok = (agree.argmax(axis=1) == mine) & (root[i + 1 :] != root[i])
+            ok &= (agree.sum(axis=1) >= AGREE) | (np.maximum(lengths[i + 1 :], lengths[i]) < LEAST + 2)
+            ok &= np.minimum(lengths[i + 1 :], lengths[i]) >= least * np.maximum(lengths[i + 1 :], lengths[i])
+            if not same:
+                ok &= block[i + 1 :] != block[i]
+            for j in (np.flatnonzero(ok) + i + 1).tolist():
+                if root[i] != root[j] and (s := similarity(texts[i], texts[j], least)) >= least:
+                    root[root == root[j]] = root[i]
+                    out.append((ids[i], ids[j], s))
+        kinds = [table.schema.field("id").type, table.schema.field("id").type, pa.float64()]
+        return pa.table([pa.array([x[c] for x in out], k) for c, k in enumerate(kinds)], names=["a", "b", "similarity"])
+
+    ship(spark)
+    return full.groupBy("key", "lo", "hi").applyInArrow(settle, f"a {kind}, b {kind}, similarity double")
+
+
 def _across(members: DataFrame) -> DataFrame:
     """Pairs (a < b) of a bucket's members in different components."""
     other = members.select("key", F.col("id").alias("b"), F.col("class").alias("class_b"))
