@@ -36,7 +36,7 @@ KINDS = ("email", "ip", "card", "phone")
 CONTEXT = "context"
 
 #: A pattern (the word before) and an instance: tokens with four digits or more in all.
-INSTANCE = r"(?<!\S)(\S{1,40}+)\x20++([^\s0-9]*+(?:[0-9][^\s0-9]*+(?:\x20(?=[(+]?[0-9]))?+){4,}+)"
+INSTANCE = r"(?<!\S)(\S{1,40}+)\x20++([^\s0-9]*+(?:[0-9][^\s0-9]*+(?:\x20(?=[(+]?[0-9])[(+]?+)?+){4,}+)"
 MIN_SEEDS = 5
 MIN_SCORE = 0.8
 ROUNDS = 3

@@ -60,9 +60,9 @@ def pretokens(text: str) -> list[str]:
 def frequent_table(docs: DataFrame, sp, frequent: int) -> dict[str, int]:
     """The most frequent pre-tokens with one space before them -> tokens; at most `frequent` of at most MAX_LETTERS."""
     words = docs.select(F.explode(F.split("text", " ")).alias("w")).where(F.char_length("w").between(1, MAX_LETTERS))
-    # Sketches are merged in two levels, so no task reads those of all tasks.
-    some = words.groupBy(F.pmod(F.spark_partition_id(), F.lit(MERGERS)).alias("m")).agg(F.expr(f"approx_top_k_accumulate(w, {2 * frequent})").alias("s"))
-    top = some.agg(F.expr(f"approx_top_k_combine(s, {2 * frequent})").alias("s")).select(F.expr(f"approx_top_k_estimate(s, {frequent})").alias("top")).first()["top"] or []
+    # One sketch for each of MERGERS groups of tasks, then a plain sum over their items: no task reads all sketches.
+    some = words.groupBy(F.pmod(F.spark_partition_id(), F.lit(MERGERS)).alias("m")).agg(F.expr(f"approx_top_k(w, {frequent}, {2 * frequent})").alias("top"))
+    top = some.select(F.inline("top")).groupBy("item").agg(F.sum("count").alias("n")).orderBy(F.desc("n"), "item").limit(frequent).collect()
     found = [" " + x["item"] for x in top if SPACE_MARK not in x["item"]]
     return dict(zip(found, lengths(sp, found))) if found else {}
 
