@@ -69,15 +69,23 @@ class Model:
         self.rate, self.labels = rate, np.zeros(0, np.float32)
         self.weights = self.axes = self.vectors = None
 
-    def project(self, counts: np.ndarray) -> np.ndarray:
-        """Unit vectors in the latent space; zero where a text has no term."""
-        total = counts.sum(axis=1, keepdims=True)
-        x = np.log1p(counts * (1000 / np.maximum(total, 1))) * self.weights
-        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    def _weighted(self, counts: np.ndarray) -> np.ndarray:
+        """Rows of unit length, in place."""
+        counts *= 1000 / np.maximum(counts.sum(axis=1, keepdims=True), 1)
+        np.log1p(counts, out=counts)
+        counts *= self.weights
+        counts /= np.maximum(np.linalg.norm(counts, axis=1, keepdims=True), 1e-12)
+        return counts
+
+    def _latent(self, x: np.ndarray) -> np.ndarray:
         z = x @ self.axes
         norm = np.linalg.norm(z, axis=1, keepdims=True)
         return np.where(norm > 1e-6, z / np.maximum(norm, 1e-12), 0).astype(np.float32)
 
+    def project(self, counts: np.ndarray) -> np.ndarray:
+        """Unit vectors in the latent space; zero where a text has no term. counts is used up."""
+        return self._latent(self._weighted(counts))
+
     def vote(self, z: np.ndarray, neighbours: int, block: int = 512) -> np.ndarray:
         """Exact: every row of z against every labelled vector, a block of rows at a time."""
         out = np.full(len(z), self.rate)
@@ -97,18 +105,30 @@ def fit(table: pa.Table, dimensions: int = DIMENSIONS) -> Model:
     if len(labels) < 2:
         return model
     column = table.column("text").combine_chunks()
-    counts = np.vstack([term_counts(tb.Block(column.slice(lo, hi - lo))) for lo, hi in tb.slices(column)])
-    model.weights = (np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))) + 1).astype(np.float32)
-    x = np.log1p(counts * (1000 / np.maximum(counts.sum(axis=1, keepdims=True), 1))) * model.weights
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-    x = x.astype(np.float32)
-    # Leading singular vectors by subspace iteration.
-    q = np.linalg.qr(x.T @ np.random.default_rng(7).standard_normal((len(x), min(dimensions + 16, *x.shape))).astype(np.float32))[0]
-    for _ in range(6):
-        q = np.linalg.qr(x.T @ (x @ q))[0]
-    _, _, right = np.linalg.svd(x @ q, full_matrices=False)
+    # Rows are kept by their non-zero terms and made dense some hundred at a time, so the driver holds no large matrix.
+    kept, documents = [], np.zeros(COLUMNS)
+    for lo, hi in tb.slices(column, tb.BLOCK_BYTES // 2):
+        counts = term_counts(tb.Block(column.slice(lo, hi - lo)))
+        documents += np.count_nonzero(counts, axis=0)
+        at = np.nonzero(counts)
+        kept.append((hi - lo, at[0].astype(np.int32), at[1].astype(np.int16), counts[at]))
+    model.weights = (np.log((1 + len(labels)) / (1 + documents)) + 1).astype(np.float32)
+
+    def rows():
+        for n, r, c, v in kept:
+            x = np.zeros((n, COLUMNS), np.float32)
+            x[r, c] = v
+            yield model._weighted(x)
+
+    # Leading singular vectors by subspace iteration, a block of rows at a time.
+    width = min(dimensions + 16, len(labels), COLUMNS)
+    q = np.linalg.qr(np.random.default_rng(7).standard_normal((COLUMNS, width)).astype(np.float32))[0]
+    for _ in range(7):
+        q = np.linalg.qr(sum(x.T @ (x @ q) for x in rows()))[0]
+    shown = np.vstack([x @ q for x in rows()])
+    _, _, right = np.linalg.svd(shown, full_matrices=False)
     model.axes = (q @ right.T)[:, :dimensions].astype(np.float32)
-    model.labels, model.vectors = labels, model.project(counts)
+    model.labels, model.vectors = labels, np.vstack([model._latent(x) for x in rows()])
     return model
 
 

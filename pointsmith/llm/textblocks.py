@@ -6,7 +6,6 @@ A block holds whole texts only and at least one, so a very long text makes a blo
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -90,20 +89,18 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
 
 
-@lru_cache(1)
-def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
-    inverse = pow(_BASE, -1, 1 << 64)
-    out = []
-    for base in (_BASE, inverse):
-        p = np.full(1 << bits, base, np.uint64)
-        p[0] = 1
-        out.append(np.multiply.accumulate(p))
-    return out[0], out[1]
+_known: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def _powers_for(n: int) -> tuple[np.ndarray, np.ndarray]:
-    bits = max(22, int(n).bit_length())
-    return _powers(bits)
+    """Powers of the base and of its inverse, up to n at least; kept, and grown when a larger block comes."""
+    if len(_known[0]) < n:
+        size = 1 << max(16, int(n - 1).bit_length())
+        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            p = np.full(size, base, np.uint64)
+            p[0] = 1
+            _known[k] = np.multiply.accumulate(p, out=p)
+    return _known[0], _known[1]
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
