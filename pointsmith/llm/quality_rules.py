@@ -4,7 +4,7 @@ Each text gives counts (words, word characters, symbols, repeated lines, words i
 fail the base rule (fewer than 50 words, or over half of them in repeated windows) go. The rest are judged within their
 language and source: a minimum covariance determinant estimate of four transformed statistics is found by C-steps
 (keep the half nearest to the centre, estimate again from it), each one a pair of map-side aggregates, and texts whose
-Mahalanobis distance lies beyond a far quantile of its chi-square distribution go.
+Mahalanobis distance lies beyond the 99.9% quantile of its chi-square distribution go.
 
 The texts are read once; their counts, a few numbers a text, are written to the shared folder. Groups of under
 `min_group` texts share one estimate. The estimates (14 numbers a group) are broadcast when the groups' number is within
@@ -33,12 +33,12 @@ WHITE = " \t\n\x0b\x0c\r"
 SYMBOLS = r"[#*$%&|<>]"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 
-#: Transformed statistics, each with the standard deviation that it is given at least.
-FLOORS = {"length": 0.25, "symbols": 0.06, "lines": 0.2, "repeats": 0.15}
+#: Transformed statistics, each with the standard deviation that it is given at least, small enough to reject by itself.
+FLOORS = {"length": 0.05, "symbols": 0.06, "lines": 0.165, "repeats": 0.15}
 STEPS = 3
 MIN_GROUP = 200
 #: Share of regular texts that the cut-off lets through.
-KEEP = 1 - 1e-7
+KEEP = 0.999
 MAX_GROUPS = 100_000
 
 

@@ -96,6 +96,32 @@ def test_quality_rules_reject_outliers(spark):
     assert all(out[i]["kept"] for i in range(400)) and not any(out[1000 + i]["kept"] for i in range(20))
 
 
+SCHEMA = "doc_id long, text string, lang string, source string"
+
+
+def test_quality_rules_reject_each_kind(spark):
+    """Junk in one statistic alone: words' length, 12% symbols, repeated short lines, repeated windows."""
+
+    def lines(seed):
+        w = prose(104, seed).split()
+        return "\n".join([" ".join(w[:30])] + [x for word in w[30:] for x in (word, "abcd", "efghi")])
+
+    def windows(seed):
+        w = prose(100, seed).split()
+        return " ".join(w[:56] + w[56:78] * 2)
+
+    def symbols(seed):
+        text = prose(100, seed)
+        return text + " " + "#" * round(0.13 * len(text.replace(" ", "")))
+
+    junk = [lambda s: " ".join(w * 2 for w in prose(100, s).split()), symbols, lines, windows]
+    rows = [(i, prose(100 + i % 50, i), "en", "a") for i in range(400)] + [(1000 * k + i, make(5000 + i), "en", "a") for k, make in enumerate(junk, 1) for i in range(8)]
+    out = got(quality_rules.quality_rules(spark.createDataFrame(rows, SCHEMA)))
+    assert sum(out[i]["kept"] for i in range(400)) >= 396
+    for k in range(1, 5):
+        assert not any(out[1000 * k + i]["base_failed"] or out[1000 * k + i]["kept"] for i in range(8)), k
+
+
 def test_chi_square():
     assert quality_rules.chi_square_4(0.95) == pytest.approx(9.4877, abs=1e-3)
 
