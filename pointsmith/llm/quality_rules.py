@@ -6,13 +6,17 @@ language and source: a minimum covariance determinant estimate of four transform
 (keep the half nearest to the centre, estimate again from it), each one a pair of map-side aggregates, and texts whose
 Mahalanobis distance lies beyond the 99.9% quantile of its chi-square distribution go.
 
+A statistic with the same value in at least half of a group's texts (in prose: symbols, repeated lines and windows,
+mostly zero) has no variance in the half. There the centre is that value and the deviation a fixed one, UNITS, without
+covariances; the others are fitted, and scaled to be consistent at the median distance.
+
 The texts are read once; their counts, a few numbers a text, are written to the shared folder. Groups of under
-`min_group` texts share one estimate. The estimates (14 numbers a group) are broadcast when the groups' number is within
+`min_group` texts share one estimate. The estimates (19 values a group) are broadcast when the groups' number is within
 a checked bound, else joined.
 
 Defined results: null texts have no words; null languages and sources count as empty strings; texts that fail the base
-rule take no part in the estimates; a variance floor keeps constant statistics from rejecting anything near them;
-repeated rows each get their own result; empty tables give empty results.
+rule take no part in the estimates; variances have floors of numerical size only; repeated rows
+each get their own result; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -33,13 +37,20 @@ WHITE = " \t\n\x0b\x0c\r"
 SYMBOLS = r"[#*$%&|<>]"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 
-#: Transformed statistics, each with the standard deviation that it is given at least, small enough to reject by itself.
-FLOORS = {"length": 0.05, "symbols": 0.06, "lines": 0.165, "repeats": 0.15}
+#: Transformed statistics, each with its deviation in groups where half of the texts or more have one value. Each is
+#: small enough to reject by itself at the cut-off of 4.3: symbols from 6.7%, repeated lines from 50%, words in
+#: repeated windows from 42%.
+UNITS = {"length": 0.05, "symbols": 0.06, "lines": 0.165, "repeats": 0.15}
+#: Deviations up to here count as none, and pivots of the covariance are at least so large.
+TINY = 1e-6
 STEPS = 3
-MIN_GROUP = 200
+#: Ten texts a statistic.
+MIN_GROUP = 40
 #: Share of regular texts that the cut-off lets through.
 KEEP = 0.999
 MAX_GROUPS = 100_000
+#: Medians of chi-square distributions with 0 (unused) to 4 degrees of freedom.
+CHI_SQUARE_MEDIANS = (1.0, 0.454936, 1.386294, 2.365974, 3.356694)
 
 
 def _repeat_words(words: Column) -> Column:
@@ -97,17 +108,24 @@ def _statistics() -> dict[str, Column]:
     }
 
 
-_NAMES = list(FLOORS)
+_NAMES = list(UNITS)
 _PAIRS = [(i, j) for i in range(len(_NAMES)) for j in range(i + 1)]
 _GROUP = ["g_lang", "g_source"]
 
 
+_FIXED = [f"f{i}" for i in range(len(_NAMES))]
+
+
 def _estimate(rows: DataFrame) -> DataFrame:
-    """Centre and covariance (with floors) of each group's rows: m0.., c00, c10, c11, .."""
+    """Centre and covariance of each group's rows: f0.. (no variance), m0.., c00, c10, c11, .."""
     x = [F.col(n) for n in _NAMES]
-    sums = rows.groupBy(*_GROUP).agg(F.count(F.lit(1)).alias("n"), *(F.avg(c).alias(f"m{i}") for i, c in enumerate(x)), *(F.covar_pop(x[i], x[j]).alias(f"c{i}{j}") for i, j in _PAIRS))
-    floors = [FLOORS[n] ** 2 for n in _NAMES]
-    return sums.select(*_GROUP, *(f"m{i}" for i in range(len(x))), *((F.greatest(F.col(f"c{i}{i}"), F.lit(floors[i])) if i == j else F.col(f"c{i}{j}")).alias(f"c{i}{j}") for i, j in _PAIRS))
+    centres = [F.when(F.first(f"f{i}"), F.first(f"m{i}")).otherwise(F.avg(c)).alias(f"m{i}") for i, c in enumerate(x)]
+    sums = rows.groupBy(*_GROUP).agg(*(F.first(f).alias(f) for f in _FIXED), *centres, *(F.covar_pop(x[i], x[j]).alias(f"c{i}{j}") for i, j in _PAIRS))
+
+    def entry(i: int, j: int) -> Column:
+        return F.when(F.col(f"f{i}") | F.col(f"f{j}"), F.lit(UNITS[_NAMES[i]] ** 2 if i == j else 0.0)).otherwise(F.col(f"c{i}{j}")).alias(f"c{i}{j}")
+
+    return sums.select(*_GROUP, *_FIXED, *(f"m{i}" for i in range(len(x))), *(entry(i, j) for i, j in _PAIRS))
 
 
 def _with_factor(estimate: DataFrame) -> DataFrame:
@@ -119,19 +137,25 @@ def _with_factor(estimate: DataFrame) -> DataFrame:
             for k in range(j):
                 rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
             # A floor under the pivots keeps the factor real where statistics depend on each other.
-            out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit((FLOORS[_NAMES[i]] / 4) ** 2))) if i == j else rest / F.col(f"l{j}{j}"))
-    return out.select(*_GROUP, *(f"m{i}" for i in range(len(_NAMES))), *(f"l{i}{j}" for i, j in _PAIRS))
+            out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(TINY**2))) if i == j else rest / F.col(f"l{j}{j}"))
+    return out.select(*_GROUP, *_FIXED, *(f"m{i}" for i in range(len(_NAMES))), *(f"l{i}{j}" for i, j in _PAIRS))
 
 
-def _distance() -> Column:
-    """The squared Mahalanobis distance, by forward substitution."""
+def _squares() -> list[Column]:
+    """The squared Mahalanobis distance in one part a statistic, by forward substitution."""
     z: list[Column] = []
     for i, name in enumerate(_NAMES):
         rest = F.col(name) - F.col(f"m{i}")
         for k in range(i):
             rest = rest - F.col(f"l{i}{k}") * z[k]
         z.append(rest / F.col(f"l{i}{i}"))
-    return sum((c * c for c in z[1:]), z[0] * z[0])
+    return [c * c for c in z]
+
+
+def _distance(scale: Column | None = None) -> Column:
+    """The squared distance; a scale divides the fitted statistics' parts only."""
+    parts = _squares()
+    return sum(parts[1:], parts[0]) if scale is None else sum((F.when(F.col(f), p).otherwise(p / scale) for f, p in zip(_FIXED, parts)), F.lit(0.0))
 
 
 def _join(rows: DataFrame, groups: DataFrame, small: bool, how: str = "inner") -> DataFrame:
@@ -145,16 +169,21 @@ def mcd(rows: DataFrame, steps: int = STEPS) -> DataFrame:
     # Start: the rows nearest the coordinate-wise medians, in units of their median deviations.
     middle = rows.groupBy(*_GROUP).agg(*(F.percentile_approx(n, 0.5, 1000).alias(f"m{i}") for i, n in enumerate(_NAMES)))
     near = _join(rows, middle, small)
-    spread = near.groupBy(*_GROUP).agg(*(F.first(f"m{i}").alias(f"m{i}") for i in range(len(_NAMES))), *(F.greatest(F.percentile_approx(F.abs(F.col(n) - F.col(f"m{i}")), 0.5, 1000) * 1.4826, F.lit(FLOORS[n])).alias(f"s{i}") for i, n in enumerate(_NAMES)))
+    spread = near.groupBy(*_GROUP).agg(*(F.first(f"m{i}").alias(f"m{i}") for i in range(len(_NAMES))), *((F.percentile_approx(F.abs(F.col(n) - F.col(f"m{i}")), 0.5, 1000) * 1.4826).alias(f"s{i}") for i, n in enumerate(_NAMES)))
+    fixed = [F.col(f"s{i}") <= TINY for i in range(len(_NAMES))]
+    units = [F.when(f, F.lit(UNITS[n])).otherwise(F.col(f"s{i}")) for i, (f, n) in enumerate(zip(fixed, _NAMES))]
     zero = F.lit(0.0)
-    factor = cut(spark, spread.select(*_GROUP, *(f"m{i}" for i in range(len(_NAMES))), *((F.col(f"s{i}") if i == j else zero).alias(f"l{i}{j}") for i, j in _PAIRS)))
+    factor = cut(spark, spread.select(*_GROUP, *(f.alias(n) for f, n in zip(fixed, _FIXED)), *(f"m{i}" for i in range(len(_NAMES))), *((units[i] if i == j else zero).alias(f"l{i}{j}") for i, j in _PAIRS)))
     for _ in range(steps):
         far = _join(rows, factor, small).withColumn("d", _distance())
         half = cut(spark, far.groupBy(*_GROUP).agg(F.percentile_approx("d", 0.5, 1000).alias("h")))
-        factor = cut(spark, _with_factor(_estimate(_join(far.select(*_GROUP, *_NAMES, "d"), half, small).where(F.col("d") <= F.col("h")))))
-    far = _join(rows, factor, small).withColumn("d", _distance())
-    # The half's covariance is too small; the median distance says by how much. Never below one: floors stay floors.
-    scale = far.groupBy(*_GROUP).agg(F.greatest(F.percentile_approx("d", 0.5, 1000) / chi_square_4(0.5), F.lit(1.0)).alias("scale"))
+        factor = cut(spark, _with_factor(_estimate(_join(far.select(*_GROUP, *_NAMES, *_FIXED, *(f"m{i}" for i in range(len(_NAMES))), "d"), half, small).where(F.col("d") <= F.col("h")))))
+    # The half's covariance is too small; the median distance of the fitted statistics says by how much.
+    fitted = sum((F.when(F.col(f), zero).otherwise(p) for f, p in zip(_FIXED, _squares())), zero)
+    n_fitted = sum((F.when(F.col(f), 0).otherwise(1) for f in _FIXED), F.lit(0))
+    median = F.get(F.array(*(F.lit(c) for c in CHI_SQUARE_MEDIANS)), F.first(n_fitted))
+    far = _join(rows, factor, small).withColumn("d", fitted)
+    scale = far.groupBy(*_GROUP).agg(F.greatest(F.percentile_approx("d", 0.5, 1000) / median, F.lit(TINY)).alias("scale"))
     return cut(spark, _join(factor, scale, small))
 
 
@@ -170,6 +199,6 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     own = F.coalesce(F.col("size"), F.lit(0)) >= min_group
     marked = sized.withColumns({"base_failed": failed, "g_lang": F.when(own, F.col("lang")).otherwise(""), "g_source": F.when(own, F.col("source")).otherwise(""), **_statistics()})
     estimates = mcd(marked.where(~F.col("base_failed")).select(*_GROUP, *_NAMES))
-    judged = _join(marked, estimates, small, "left").withColumn("distance", F.sqrt(_distance() / F.col("scale")))
+    judged = _join(marked, estimates, small, "left").withColumn("distance", F.sqrt(_distance(F.col("scale"))))
     inside = F.coalesce(F.col("distance") <= math.sqrt(chi_square_4(keep)), F.lit(True))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & inside).alias("kept"), "distance")

@@ -122,6 +122,19 @@ def test_quality_rules_reject_each_kind(spark):
         assert not any(out[1000 * k + i]["base_failed"] or out[1000 * k + i]["kept"] for i in range(8)), k
 
 
+def test_quality_rules_follow_each_groups_spread(spark):
+    """Two groups with one centre: what is far out in the narrow one is regular in the wide one."""
+    r = random.Random(5)
+
+    def text(length, n=100):
+        return " ".join("".join(r.choice("abcdefghij") for _ in range(max(1, round(r.gauss(length, 1))))) for _ in range(n))
+
+    narrow = [(i, text(6), "en", "narrow") for i in range(200)] + [(1000 + i, text(8), "en", "narrow") for i in range(5)]
+    wide = [(2000 + i, text(r.gauss(6, 1)), "en", "wide") for i in range(200)] + [(3000 + i, text(8), "en", "wide") for i in range(5)]
+    out = got(quality_rules.quality_rules(spark.createDataFrame(narrow + wide, SCHEMA)))
+    assert not any(out[1000 + i]["kept"] for i in range(5)) and all(out[3000 + i]["kept"] for i in range(5))
+
+
 def test_chi_square():
     assert quality_rules.chi_square_4(0.95) == pytest.approx(9.4877, abs=1e-3)
 
