@@ -6,17 +6,23 @@ probes reads n cells' files only and re-ranks them exactly. Cells are balanced b
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pointsmith.session import ship
 
 from .points import score_column
-from .search import filtered, top_k
+from .search import BATCH_QUERIES, filtered, top_k
 
 #: Rows that centres are fitted on, at most.
 SAMPLE_ROWS = 50_000
+#: Share of the cells that a search probes by default: vectors without much of a cluster structure need so many for a
+#: recall of 0.9, and the share needed falls as tables grow.
+PROBE_SHARE = 0.65
 
 
 def fit_centres(points: DataFrame, cells: int, vector: str = "vector", id_col: str = "id", sample_rows: int = SAMPLE_ROWS, rounds: int = 12, seed: int = 7) -> np.ndarray:
@@ -73,18 +79,48 @@ def load_centres(spark: SparkSession, path: str) -> np.ndarray:
     return np.array([r["centre"] for r in rows], np.float32)
 
 
+def default_probes(centres: np.ndarray) -> int:
+    return max(8, math.ceil(PROBE_SHARE * len(centres)))
+
+
 def probe(centres: np.ndarray, query: list[float], probes: int) -> list[int]:
     q = np.asarray(query, np.float32)
     near = centres @ (q / max(np.linalg.norm(q), 1e-12))
     return np.argsort(-near, kind="stable")[:probes].tolist()
 
 
-def search(index: DataFrame, centres: np.ndarray, query: list[float], limit: int = 10, probes: int = 8, distance: str = "Cosine", flt: dict | None = None, vector: str = "vector", id_col: str = "id", get=None) -> DataFrame:
+def search(index: DataFrame, centres: np.ndarray, query: list[float], limit: int = 10, probes: int | None = None, distance: str = "Cosine", flt: dict | None = None, vector: str = "vector", id_col: str = "id", get=None) -> DataFrame:
     """Exact ranking of the probed cells' rows; the filter comes before the top-k."""
-    kept = filtered(index.where(F.col("cell").isin(probe(centres, query, probes))), flt, get, id_col)
+    kept = filtered(index.where(F.col("cell").isin(probe(centres, query, probes or default_probes(centres)))), flt, get, id_col)
     return top_k(kept.withColumn("score", score_column(F.col(vector), query, distance)), limit, id_col=id_col).drop("cell")
 
 
+def search_batch(index: DataFrame, centres: np.ndarray, queries: DataFrame, limit: int = 10, probes: int | None = None, distance: str = "Cosine", flt: dict | None = None, vector: str = "vector", id_col: str = "id", get=None) -> DataFrame:
+    """(query_id, id, score, rank) for a frame of queries (query_id, q), each over its own cells, in broadcast blocks."""
+    ship(index.sparkSession)
+    shared = index.sparkSession.sparkContext.broadcast(centres)
+    n_probes = probes or default_probes(centres)
+
+    @F.pandas_udf("array<int>")
+    def cells(q):
+        import pandas as pd
+
+        return pd.Series([probe(shared.value, x, n_probes) for x in q])
+
+    kept = filtered(index.where(F.col(vector).isNotNull()), flt, get, id_col).select(F.col(id_col).alias("id"), F.col(vector).alias("v"), "cell")
+    asked = queries.where("q is not null").select("query_id", "q", cells("q").alias("cells"))
+    n = asked.count()
+    parts = 1 if n <= BATCH_QUERIES else -(-n // (BATCH_QUERIES // 2))
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+
+    def block(b: int) -> DataFrame:
+        part = asked if parts == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == b)
+        scored = kept.join(F.broadcast(part), F.array_contains("cells", F.col("cell"))).select("query_id", "id", score_column(F.col("v"), F.col("q"), distance).alias("score"))
+        return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit)
+
+    return reduce(DataFrame.unionByName, [block(b) for b in range(parts)])
+
+
 def recall(exact: list, found: list) -> float:
     return len(set(exact) & set(found)) / max(1, len(set(exact)))
 

@@ -555,9 +555,11 @@ def ann_ivf(spark, d):
     import uuid
 
     path = f"{shared_dir(spark).rstrip('/')}/ann-{uuid.uuid4().hex}"
-    centres = ann.build(_vectors(spark, d), path)
+    points = _vectors(spark, d)
+    centres = ann.build(points, path)
     index = spark.read.parquet(f"{path}/cells")
-    return _hits(ann.search(index, centres, _vector_of(spark, d), probes=max(8, len(centres) // 3)))
+    asked = points.where("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("vector").alias("q"))
+    return ann.search_batch(index, centres, asked).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
 @query("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS start, event_type, count(*) AS n FROM events GROUP BY ALL")

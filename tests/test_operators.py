@@ -177,6 +177,28 @@ def test_ann_recall(spark, data):
     assert "PartitionFilters: [isnotnull(cell" in plan(ann.search(index, centres, [1.0] * 64, 10, 2)) or "PartitionFilters" in plan(ann.search(index, centres, [1.0] * 64, 10, 2))
 
 
+def test_ann_recall_as_registered(spark, data):
+    """The registered query, and single searches by default, against brute force."""
+    from pointsmith.plans import registry
+
+    def by_query(df):
+        out = {}
+        for r in df.collect():
+            out.setdefault(r["query_id"], []).append(r["id"])
+        return out
+
+    exact = by_query(registry.queries()["knn_batch"](spark, data))
+    found = by_query(registry.queries()["ann_ivf"](spark, data))
+    assert set(found) == set(exact) and len(exact) == 25
+    assert sum(ann.recall(exact[i], found[i]) for i in exact) / len(exact) >= 0.9
+    pts = table(spark, data, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    path = f"/tmp/ann-{uuid.uuid4().hex}"
+    centres = ann.build(pts, path)
+    index = spark.read.parquet(f"{path}/cells")
+    got = [ann.recall(exact[r["id"]], [x["id"] for x in ann.search(index, centres, r["vector"]).collect()]) for r in pts.where("id % 20 = 0").collect()]
+    assert sum(got) / len(got) >= 0.9
+
+
 def test_csv_and_json_ingest(spark, tmp_path):
     (tmp_path / "p.csv").write_text('id,name,price,ok\n1,"Ham",2.5,true\n2,,3,false\nbroken,row\n3,Egg,x,true\n')
     df = ingest.read_csv(spark, f"file://{tmp_path}/p.csv")
