@@ -19,15 +19,28 @@ from pointsmith.llm.minhash import near_duplicates
 from pointsmith.session import shared_dir, table
 
 
-def _keep(docs: DataFrame, decisions: DataFrame) -> DataFrame:
-    """The rows of docs whose id is in decisions; rows without an id stay. decisions: one column, doc_id, distinct."""
-    return docs.join(decisions, "doc_id", "left_semi").select(*docs.columns).union(docs.where("doc_id is null"))
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with `__key`, a hash of id and text: set for rows without an id too, and equal for equal rows only."""
+    return docs.withColumn("__key", F.xxhash64(F.col("doc_id").isNull(), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("text").isNull(), F.coalesce("text", F.lit(""))))
+
+
+def _by_key(keyed: DataFrame) -> DataFrame:
+    """The rows for an operator, with the key as their id."""
+    return keyed.withColumn("doc_id", F.col("__key")).drop("__key")
+
+
+def _keep(keyed: DataFrame, decisions: DataFrame) -> DataFrame:
+    """The rows of keyed whose key is in decisions. decisions: one column, __key, distinct."""
+    return keyed.join(decisions, "__key", "left_semi").select(*keyed.columns)
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents predicted to be of good quality stay. The model is fitted on labelled rows of the documents given."""
-    scored = quality.quality(docs, table(spark, sf_dir, "labels"))
-    return _keep(docs, scored.groupBy("doc_id").agg(F.max("predicted").alias("good")).where("good = 1").select("doc_id"))
+    keyed = _keyed(docs)
+    model = quality.fit(quality.sample(docs, table(spark, sf_dir, "labels"), "quality", quality.ROWS_PER_CLASS, quality.FOLDS, quality.HELD_OUT))
+    scored = quality.score(_by_key(keyed), model, neighbours=quality.NEIGHBOURS, folds=quality.FOLDS, held_out=quality.HELD_OUT)
+    good = scored.groupBy(F.col("doc_id").alias("__key")).agg(F.max("predicted").alias("good")).where("good = 1")
+    return _keep(keyed, good.select("__key")).select(*docs.columns)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,16 +50,20 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near-duplicates the document with the smallest id stays."""
-    first = near_duplicates(docs).where("doc_id = class_id").select("doc_id").distinct()
-    # Repeated rows of one document are copies too: one stays.
-    return _keep(docs, first).dropDuplicates(["doc_id"])
+    """Of each class of near-duplicates the document with the smallest id stays (one without an id, if none has one)."""
+    keyed = _keyed(docs)
+    classes = near_duplicates(_by_key(keyed)).select(F.col("doc_id").alias("__key"), "class_id").distinct()
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__key")
+    first = keyed.select("__key", "doc_id").join(classes, "__key").groupBy("class_id").agg(F.min(order).alias("least"))
+    # Rows of one key are copies of one text and id: one stays.
+    return _keep(keyed, first.select("least.__key")).dropDuplicates(["__key"]).select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a twentieth or more of their words in benchmark windows go."""
-    judged = decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    return _keep(docs, judged.where("not contaminated").select("doc_id").distinct())
+    keyed = _keyed(docs)
+    judged = decontaminate(_by_key(keyed), table(spark, sf_dir, "benchmark"))
+    return _keep(keyed, judged.where("not contaminated").select(F.col("doc_id").alias("__key")).distinct()).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -372,3 +372,24 @@ def test_pipeline_against_brute_force(spark, data):
     library = brute.bpe()
     final = got(stages[4](spark, clean, data))
     assert {i: r["ids"] for i, r in final.items()} == {i: library.encode_ordinary(t) for i, t in rows}
+
+
+def test_pipeline_judges_rows_without_an_id(spark, data):
+    """Different rows with no id or with one id all stay; copies, contaminated and bad ones go."""
+    import corpus_pipeline as cp
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    item = spark.read.parquet(f"{data}/benchmark.parquet").first()["text"]
+    texts = [(None, prose(80, 901)), (None, prose(80, 902)), (None, prose(80, 902)), (None, prose(80, 903)), (5, prose(80, 903)), (7, prose(80, 904)), (7, prose(80, 905))]
+    rows = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts + [(None, item)]], schema)
+    order = lambda rows: sorted(rows, key=str)
+    first = [(r["doc_id"], r["text"]) for r in cp.dedup_documents(spark, rows, data).collect()]
+    want = [texts[k] for k in (0, 1, 4, 5, 6)]
+    assert order(first) == order([*want, (None, item)])
+    clean = [(r["doc_id"], r["text"]) for r in cp.drop_contaminated(spark, rows, data).collect()]
+    assert order(clean) == order(texts)
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    bad = quality.quality(docs, spark.read.parquet(f"{data}/labels.parquet")).where("predicted = 0").select("doc_id")
+    nameless = docs.join(bad, "doc_id", "left_semi").limit(5).withColumn("doc_id", F.lit(None).cast("long")).select(*docs.columns)
+    assert nameless.count() == 5
+    assert cp.quality_filter(spark, docs.union(nameless), data).where("doc_id is null").count() == 0
