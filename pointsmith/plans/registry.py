@@ -224,6 +224,13 @@ def postings_terms(spark, d):
     return index.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf")).where("df >= 20")
 
 
+@query(f"SELECT term, count(DISTINCT doc_id) AS df, count(*)::BIGINT AS cf FROM (SELECT doc_id, unnest({_TOKENS}) AS term FROM documents) GROUP BY term")
+def postings_all_terms(spark, d):
+    """postings_terms without its threshold."""
+    index = text_search.postings(_documents(spark, d))
+    return index.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+
+
 def _bm25_sql(query_text: str, limit: int = 10) -> str:
     times: dict[str, int] = {}
     for w in query_text.split():

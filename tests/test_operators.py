@@ -199,6 +199,15 @@ def test_ann_recall_as_registered(spark, data):
     assert sum(got) / len(got) >= 0.9
 
 
+def test_postings_of_all_terms(spark, data):
+    """The registered index has the rare terms too."""
+    from pointsmith.plans import registry
+
+    terms = registry.queries()["postings_all_terms"](spark, data).cache()
+    frequent = registry.queries()["postings_terms"](spark, data).count()
+    assert terms.where("df >= 20").count() == frequent < terms.count() and terms.where("df = 1").count() > 0
+
+
 def test_csv_and_json_ingest(spark, tmp_path):
     (tmp_path / "p.csv").write_text('id,name,price,ok\n1,"Ham",2.5,true\n2,,3,false\nbroken,row\n3,Egg,x,true\n')
     df = ingest.read_csv(spark, f"file://{tmp_path}/p.csv")
