@@ -122,7 +122,7 @@ def fit(table: pa.Table) -> Model:
     ordinary = []
     for t, c in rows[0]:
         w = _WORDS(t.lower()) if not c else []
-        ordinary += [(" " + " ".join(w[i : i + 40]) + " ").encode() for i in range(0, len(w), 40)][:10]
+        ordinary += [(" " + " ".join(w[i : i + 40]) + " ").encode() for i in range(0, len(w), 40)]
     model.ordinary, model.toxic = _dictionary(ordinary, ORDINARY_BYTES), _dictionary([x for x in toxic if len(x) > 8], TOXIC_BYTES)
     lengths, known = Lengths(model.ordinary, model.toxic), {}
     counts = (Counter(), Counter())

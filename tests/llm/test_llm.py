@@ -286,6 +286,15 @@ def test_classifiers_on_held_out_rows(spark, run, label):
     assert fold.where("held_out <> want").count() == 0
 
 
+def test_toxicity_trains_on_whole_ordinary_texts(monkeypatch):
+    given = []
+    train = toxicity._dictionary
+    monkeypatch.setattr(toxicity, "_dictionary", lambda samples, size: given.append(samples) or train(samples, size))
+    texts = [prose(900, i) + " lastword" for i in range(40)] + [prose(40, 100 + i) + " vile nasty" for i in range(40)]
+    toxicity.fit(pa.table({"text": texts, "label": [0] * 40 + [1] * 40}))
+    assert sum(b"lastword" in x for x in given[0]) == 20
+
+
 @pytest.mark.parametrize("run", [toxicity.toxicity, quality.quality])
 def test_classifiers_without_labels(spark, docs, run):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
