@@ -28,11 +28,18 @@ def composite_text(fields: list[str]) -> Column:
 
 
 def chunks_of(text: str, size: int = 1000, overlap: int = 200) -> list[str]:
-    """Pieces of about `size` characters that end at a paragraph, else a sentence, past their half; `overlap` is shared."""
-    out, at, n = [], 0, len(text)
-    while at < n:
+    """Pieces of about `size` characters that end at a paragraph, else a sentence, past their half; `overlap` is shared.
+
+    A text of at most `size` characters is its own only piece. A last piece that ends less than `overlap` before a full
+    window's end is followed by one more, the shared part alone, as each window starts `overlap` before the end of the
+    one before. Blank pieces are left out.
+    """
+    if len(text) <= size:
+        return [text] if text.strip() else []
+    out, at = [], 0
+    while at < len(text):
         stop = at + size
-        if stop < n:
+        if stop < len(text):
             for mark, keep in (("\n\n", 0), (". ", 1)):
                 cut = text.rfind(mark, at, stop)
                 if cut > at + size // 2:
@@ -40,8 +47,6 @@ def chunks_of(text: str, size: int = 1000, overlap: int = 200) -> list[str]:
                     break
         if piece := text[at:stop].strip():
             out.append(piece)
-        if stop >= n:
-            break
         at = max(stop - overlap, at + 1)
     return out
 

@@ -1,7 +1,11 @@
 """Approximate neighbours: an inverted file. Centres are fitted on a bounded sample; every row is indexed.
 
 The index is the points with their nearest centre's number as a partition column of the table, so a search for n
-probes reads n cells' files only and re-ranks them exactly. Cells are balanced by taking about sqrt(rows) centres.
+probes reads n cells' files only and re-ranks them exactly. Cells are balanced by taking about sqrt(rows) centres, but
+at most `MAX_CELLS`, so that the centres stay a small broadcast; sampled rows are held against them in blocks.
+
+The second index here is for vectors that hardly cluster: binary codes of random hyperplanes beside each vector. A
+search looks at every row's code, an eighth of a 64-wide vector's bytes, and reads the vectors of the nearest only.
 """
 
 from __future__ import annotations
@@ -12,17 +16,21 @@ from functools import reduce
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.column import Column
 
 from pointsmith.session import ship
 
 from .points import score_column
-from .search import BATCH_QUERIES, filtered, top_k
+from .search import BATCH_QUERIES, filtered, knn_batch, top_k
 
 #: Rows that centres are fitted on, at most.
 SAMPLE_ROWS = 50_000
 #: Share of the cells that a search probes by default: vectors without much of a cluster structure need so many for a
 #: recall of 0.9, and the share needed falls as tables grow.
 PROBE_SHARE = 0.65
+MAX_CELLS = 16_384
+#: Rows held against all centres at a time on the driver.
+FIT_BLOCK = 2048
 
 
 def fit_centres(points: DataFrame, cells: int, vector: str = "vector", id_col: str = "id", sample_rows: int = SAMPLE_ROWS, rounds: int = 12, seed: int = 7) -> np.ndarray:
@@ -36,7 +44,7 @@ def fit_centres(points: DataFrame, cells: int, vector: str = "vector", id_col: s
     rng = np.random.default_rng(seed)
     centres = x[rng.choice(len(x), min(cells, len(x)), replace=False)]
     for _ in range(rounds):
-        own = (x @ centres.T).argmax(axis=1)
+        own = np.concatenate([(x[i : i + FIT_BLOCK] @ centres.T).argmax(axis=1) for i in range(0, len(x), FIT_BLOCK)])
         for c in range(len(centres)):
             if (members := x[own == c]).size:
                 m = members.sum(axis=0)
@@ -56,7 +64,7 @@ def assign(points: DataFrame, centres: np.ndarray, vector: str = "vector") -> Da
         if ok.any():
             x = np.stack(v[ok].to_numpy()).astype(np.float32)
             x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-            out[ok] = (x @ shared.value.T).argmax(axis=1)
+            out[ok] = np.concatenate([(x[i : i + FIT_BLOCK] @ shared.value.T).argmax(axis=1) for i in range(0, len(x), FIT_BLOCK)])
         import pandas as pd
 
         return pd.Series(out)
@@ -66,10 +74,10 @@ def assign(points: DataFrame, centres: np.ndarray, vector: str = "vector") -> Da
 
 def build(points: DataFrame, path: str, cells: int | None = None, vector: str = "vector", id_col: str = "id", **fit) -> np.ndarray:
     """Write the index: one folder a cell. Returns the centres, also stored beside it."""
-    n = cells or max(1, int(points.count() ** 0.5))
+    n = cells or min(MAX_CELLS, max(1, int(points.count() ** 0.5)))
     centres = fit_centres(points, n, vector, id_col, **fit)
     spark = points.sparkSession
-    assign(points, centres, vector).repartition("cell").write.mode("overwrite").partitionBy("cell").parquet(f"{path}/cells")
+    assign(points, centres, vector).repartition("cell", F.pmod(F.xxhash64(id_col), F.lit(4))).write.mode("overwrite").partitionBy("cell").parquet(f"{path}/cells")
     spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centres)], "cell int, centre array<float>").coalesce(1).write.mode("overwrite").parquet(f"{path}/centres")
     return centres
 
@@ -121,11 +129,88 @@ def search_batch(index: DataFrame, centres: np.ndarray, queries: DataFrame, limi
     return reduce(DataFrame.unionByName, [block(b) for b in range(parts)])
 
 
+# -- binary codes: every row is looked at, by 256 bits; few rows' vectors are read
+CODE_BITS = 256
+
+
+def planes(width: int, bits: int = CODE_BITS, seed: int = 11) -> np.ndarray:
+    """Random hyperplanes, the same for the same width: nothing is fitted."""
+    return np.random.default_rng(seed).standard_normal((width, bits))
+
+
+def codes_of(x: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Rows of 64-bit words: on which side of each hyperplane a vector lies."""
+    return np.packbits(x @ h > 0, axis=1).view(np.int64)
+
+
+def with_codes(points: DataFrame, width: int, vector: str = "vector", bits: int = CODE_BITS) -> DataFrame:
+    """points with `code`, bits / 64 longs, null for vectors of another length."""
+    ship(points.sparkSession)
+
+    @F.pandas_udf("array<bigint>")
+    def code(v):
+        import pandas as pd
+
+        h, out = planes(width, bits), [None] * len(v)
+        at = [i for i, x in enumerate(v) if x is not None and len(x) == width]
+        if at:
+            for i, words in zip(at, codes_of(np.stack([np.asarray(v.iloc[i], np.float64) for i in at]), h)):
+                out[i] = words
+        return pd.Series(out)
+
+    return points.withColumn("code", code(F.col(vector)))
+
+
+def candidates(rows: int, limit: int) -> int:
+    """How many rows are ranked exactly: the share falls with the root of the table."""
+    return max(10 * limit, math.ceil(4.4 * rows**0.5))
+
+
+def search_codes(index: DataFrame, queries: DataFrame, limit: int = 10, distance: str = "Cosine", rerank: int | None = None, flt: dict | None = None, vector: str = "vector", id_col: str = "id", get=None) -> DataFrame:
+    """(query_id, id, score, rank): the rows whose codes are nearest in bits, ranked exactly by their vectors.
+
+    index: points with codes, as a stored table, so that the first pass reads codes and filtered columns only. Bits are
+    counted in generated code; each task keeps `rerank` rows a query before the shuffle. For Cosine, and for the other
+    distances over vectors of about one length.
+    """
+    width = index.where(F.col("code").isNotNull()).select(F.size(vector).alias("w")).first()
+    if width is None:
+        return knn_batch(index.where("false"), queries, limit, distance, vector=vector, id_col=id_col)
+    asked = with_codes(queries.where("q is not null").select("query_id", "q"), width["w"], "q").where("code is not null")
+    most = rerank or candidates(index.count(), limit)
+    words = CODE_BITS // 64
+    seen = filtered(index, flt, get, id_col).where("code is not null").select(F.col(id_col).alias("id"), *[F.col("code")[i].alias(f"c{i}") for i in range(words)])
+    near = Window.partitionBy("query_id").orderBy("bits", "id")
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    n = asked.count()
+    blocks = max(1, -(-n // BATCH_QUERIES))
+
+    def block(b: int) -> DataFrame:
+        part = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
+        short = part.select("query_id", *[F.col("code")[i].alias(f"q{i}") for i in range(words)])
+        bits = reduce(Column.__add__, [F.bit_count(F.col(f"c{i}").bitwiseXOR(F.col(f"q{i}"))) for i in range(words)])
+        chosen = seen.crossJoin(F.broadcast(short)).select("query_id", "id", bits.alias("bits")).withColumn("n", F.row_number().over(near)).where(F.col("n") <= most).select("query_id", "id")
+        full = chosen.join(index.select(F.col(id_col).alias("id"), F.col(vector).alias("v")), "id").join(F.broadcast(part.select("query_id", "q")), "query_id")
+        scored = full.select("query_id", "id", score_column(F.col("v"), F.col("q"), distance).alias("score"))
+        return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit)
+
+    return reduce(DataFrame.unionByName, [block(b) for b in range(blocks)])
+
+
+#: From so many rows on an index is used where there is one.
+EXACT_ROWS = 10_000
+
+
+def search_any(points: DataFrame, queries: DataFrame, limit: int = 10, distance: str = "Cosine", flt: dict | None = None, vector: str = "vector", id_col: str = "id", get=None, exact_rows: int = EXACT_ROWS) -> DataFrame:
+    """Exact search for small tables and for those without codes, else by codes."""
+    if "code" in points.columns and points.count() >= exact_rows:
+        return search_codes(points, queries, limit, distance, None, flt, vector, id_col, get)
+    return knn_batch(points, queries, limit, distance, flt, vector, id_col, get)
+
+
 def recall(exact: list, found: list) -> float:
     return len(set(exact) & set(found)) / max(1, len(set(exact)))
 
 
 def remove(index: DataFrame, ids: list, id_col: str = "id") -> DataFrame:
     return index.where(~F.col(id_col).cast("string").isin([str(i) for i in ids]))
-
-

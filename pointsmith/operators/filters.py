@@ -1,7 +1,8 @@
 """The payload filter language, compiled to Columns.
 
 A filter is {must, should, must_not} of conditions: {key, match: {value | any | text}}, {key, range: {gt, gte, lt, lte}},
-{has_id}, {nested: {key, filter}}, a group again, or the legacy {field, value, operator}. Logic is two-valued: null
+{has_id}, {nested: {key, filter}}, a group again, the legacy {field, value, operator}, or a Column of the caller's own
+(any condition over the row, null as false). match also takes contains, a case-sensitive part of a text. Logic is two-valued: null
 counts as false, also under a negation. Paths are a.b.c through objects and list[].field through lists.
 
 Two resolvers give a path its value: typed columns (comparisons stay plain predicates, so they reach the scan), and a
@@ -107,6 +108,9 @@ class Typed:
     def text(self, query: str) -> Column:
         return _text(self.col, query) if self._is() == "string" else F.lit(False)
 
+    def contains(self, part: str) -> Column:
+        return F.contains(self.col, F.lit(part)) if self._is() == "string" else F.lit(False)
+
     def range(self, bounds: dict) -> Column:
         if self._is() != "number":
             return F.lit(False)
@@ -164,6 +168,9 @@ class Variant:
     def text(self, query: str) -> Column:
         return (self._kind() == "STRING") & _text(F.try_variant_get(self.col, "$", "string"), query)
 
+    def contains(self, part: str) -> Column:
+        return (self._kind() == "STRING") & F.contains(F.try_variant_get(self.col, "$", "string"), F.lit(part))
+
     def range(self, bounds: dict) -> Column:
         n = F.try_variant_get(self.col, "$", "double")
         given = [_BOUNDS[k](n, F.lit(float(v))) for k, v in bounds.items() if k in _BOUNDS and v is not None]
@@ -188,6 +195,9 @@ class VariantList(Variant):
     def text(self, query: str) -> Column:
         return F.lit(False)
 
+    def contains(self, part: str) -> Column:
+        return F.lit(False)
+
     def range(self, bounds: dict) -> Column:
         return F.lit(False)
 
@@ -276,6 +286,8 @@ def _legacy(node: dict, get) -> Column:
 
 
 def _condition(node: object, get, id_col: str) -> Column:
+    if isinstance(node, Column):
+        return certain(node)
     if not isinstance(node, dict):
         return F.lit(False)
     if "has_id" in node:
@@ -302,6 +314,8 @@ def _field(node: dict, get) -> Column:
             return value.any(_listed(match["any"]))
         if "text" in match:
             return value.text(str(match["text"]))
+        if "contains" in match:
+            return value.contains(str(match["contains"]))
     if isinstance(bounds, dict):
         return get(node["key"]).range(bounds)
     return F.lit(False)

@@ -17,7 +17,10 @@ from .filters import Columns, certain, compile_filter
 
 
 def upsert(current: DataFrame, incoming: DataFrame, id_col: str = "id", order_col: str | None = None) -> DataFrame:
-    """The latest write of each id. incoming's order_col says which of its rows for one id is last (else any)."""
+    """The latest write of each id. incoming's order_col says which of its rows for one id is last (else any).
+
+    For repeated ids in one batch give an order: without one it is that of partitions.
+    """
     order = F.col(order_col).cast("bigint") if order_col else F.monotonically_increasing_id()
     cols = [c for c in current.columns if c != "version"]
     old = current.select(*cols, (F.col("version") if "version" in current.columns else F.lit(0)).cast("bigint").alias("version"), F.lit(None).cast("bigint").alias("__ord"))
@@ -108,9 +111,12 @@ def clear_payload(points: DataFrame, payload: list[str] | str = "payload", ids:
     return _edit(points, {c: F.lit(None) for c in columns}, _chosen(points, ids, flt, get, id_col))
 
 
-def update_vectors(points: DataFrame, updates: DataFrame, column: str = "vector", id_col: str = "id") -> DataFrame:
-    """New vectors for the ids in updates (id, vector); versions stay."""
-    new = updates.select(F.col(id_col), F.col(column).cast(points.schema[column].dataType).alias("__new")).dropDuplicates([id_col])
+def update_vectors(points: DataFrame, updates: DataFrame, column: str = "vector", id_col: str = "id", order_col: str | None = None) -> DataFrame:
+    """New vectors for the ids in updates (id, vector); versions stay. Of several for one id the last by order_col
+    counts; without one, the largest vector, so that the result does not depend on partitions."""
+    new = F.col(column).cast(points.schema[column].dataType)
+    order = F.col(order_col) if order_col else new
+    new = updates.groupBy(id_col).agg(F.max_by(new, order).alias("__new"))
     return points.join(new, id_col, "left").withColumn(column, F.coalesce("__new", column)).select(*points.columns)
 
 

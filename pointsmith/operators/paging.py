@@ -32,4 +32,7 @@ def get_by_ids(points: DataFrame, ids: list, id_col: str = "id") -> DataFrame:
     """The points of these ids in the order asked for, with `position`; unknown ids are passed over."""
     kind = points.schema[id_col].dataType
     asked = points.sparkSession.createDataFrame([(i, x) for i, x in enumerate(ids)], f"position int, `{id_col}` {kind.simpleString()}")
-    return points.where(F.col(id_col).isin(list(ids))).join(F.broadcast(asked), id_col).orderBy("position")
+    # Short lists reach the scan as a predicate; long ones are joined, without a hint, by their size.
+    few = len(ids) <= 500
+    kept = points.where(F.col(id_col).isin(list(ids))) if few else points
+    return kept.join(F.broadcast(asked) if few else asked, id_col).orderBy("position")

@@ -92,6 +92,22 @@ def points_from_records(spark: SparkSession, records: list[dict], required: bool
     return spark.createDataFrame(rows, POINTS)
 
 
+def points_from_rpc(spark: SparkSession, records: list[dict]) -> DataFrame:
+    """Points of binary-protocol records {id, vectors, payload}: ids that look like numbers become numbers (so `007` is
+    7), a missing vector is an error, and of named vectors the first dense one counts, in the order given."""
+    rows = []
+    for r in records:
+        own, vectors = str(r["id"]), r.get("vectors", r.get("vector"))
+        if own.isascii() and own.isdigit() and int(own) < 2**64:
+            own = str(int(own))
+        if isinstance(vectors, dict) and not {"indices", "values"} <= vectors.keys():
+            dense = next((v for v in vectors.values() if isinstance(v, list)), None)
+            sparse = {k: v for k, v in vectors.items() if isinstance(v, dict)}
+            vectors = {**sparse, **({"": dense} if dense is not None else {})}
+        rows.append({"id": own, "vector": vectors, "payload": r.get("payload")})
+    return points_from_records(spark, rows, required=True)
+
+
 def check_dimension(points: DataFrame, dim: int) -> DataFrame:
     """points, failing when a row with a vector of another length is read; 0 switches the check off."""
     if dim == 0:

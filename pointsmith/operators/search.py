@@ -8,12 +8,15 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 from pyspark.sql.window import Window
 
+from pointsmith.functions import kernels
 from pointsmith.functions import vecmath as vm
+from pointsmith.session import ship
 
 from .filters import Columns, compile_filter
 from .points import score_column
@@ -54,20 +57,46 @@ def knn_by_id(points: DataFrame, source_id: object, limit: int = 10, distance: s
 
 
 def knn_batch(points: DataFrame, queries: DataFrame, limit: int = 10, distance: str = "Cosine", flt: dict | None = None, vector: str = "vector", id_col: str = "id", get=None) -> DataFrame:
-    """(query_id, id, score, rank) for a frame of queries (query_id, q), in broadcast blocks of BATCH_QUERIES.
+    """(query_id, id, score, rank) for a frame of queries (query_id, q).
 
-    Every task keeps its own k best of each query before the shuffle, so what moves is k rows a query and task.
+    Blocks of at most BATCH_QUERIES queries, dealt by a hash of their ids, are broadcast as a matrix; each block of
+    points is scored by one matrix product, and only entries from its k-th best on leave Python. Every task then keeps
+    its own k best of each query before the shuffle, so what moves is k rows a query and task.
     """
     kept = filtered(points, flt, get, id_col).where(F.col(vector).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector).alias("v"))
-    n = queries.count()
-    blocks = [queries.select("query_id", "q")] if n <= BATCH_QUERIES else [queries.select("query_id", "q").where(F.pmod(F.xxhash64("query_id"), F.lit(-(-n // (BATCH_QUERIES // 2)))) == b) for b in range(-(-n // (BATCH_QUERIES // 2)))]
+    asked = queries.select("query_id", "q").where("q is not null")
+    n = asked.count()
+    blocks = 1 if n <= BATCH_QUERIES else -(-n // (BATCH_QUERIES // 2))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-
-    def block(part: DataFrame) -> DataFrame:
-        scored = kept.crossJoin(F.broadcast(part)).select("query_id", "id", score_column(F.col("v"), F.col("q"), distance).alias("score"))
-        return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit)
-
-    return reduce(DataFrame.unionByName, [block(b) for b in blocks])
+    schema = f"query_id {asked.schema['query_id'].dataType.simpleString()}, id {kept.schema['id'].dataType.simpleString()}, score double"
+    parts = []
+    for b in range(blocks):
+        own = (asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)).toArrow()
+        for width in sorted({len(v) for v in own.column("q").to_pylist()}):
+            parts.append(_scored_block(kept, own, width, limit, distance, schema))
+    if not parts:
+        return kept.sparkSession.createDataFrame([], schema + ", rank int")
+    found = [x.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit) for x in parts]
+    return reduce(DataFrame.unionByName, found)
+
+
+def _scored_block(kept: DataFrame, queries: pa.Table, width: int, limit: int, distance: str, schema: str) -> DataFrame:
+    """The queries of one width against all points: (query_id, id, score) of each block's best."""
+    column = queries.column("q").combine_chunks()
+    q, fits = kernels.matrix(column, width)
+    names = queries.column("query_id").combine_chunks().filter(pa.array(fits))
+    ship(kept.sparkSession)
+    shared = kept.sparkSession.sparkContext.broadcast((names, q[fits]))
+
+    def run(batches):
+        names, q = shared.value
+        for batch in batches:
+            x, ok = kernels.matrix(batch.column(1), width)
+            scores = kernels.score_block(x, ok, q, distance)
+            row, col = kernels.best(scores, limit)
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(col)), batch.column(0).take(pa.array(row)), pa.array(scores[row, col])], ["query_id", "id", "score"])
+
+    return kept.mapInArrow(run, schema)
 
 
 def recommend(points: DataFrame, positive: list, negative: list | None = None, limit: int = 10, distance: str = "Cosine", flt: dict | None = None, threshold: float | None = None, vector: str = "vector", id_col: str = "id", get=None) -> DataFrame:
@@ -130,6 +159,16 @@ def search_groups(points: DataFrame, query: list[float], group_by: str, limit: i
     Groups are ordered by their best score, then key; hits without the key are in the group `unknown`.
     """
     pool = knn(points, query, limit * group_size * 2, distance, flt, vector=vector, id_col=id_col, get=get)
+    return _grouped(pool, group_by, limit, group_size, id_col)
+
+
+def query_groups(points: DataFrame, request: dict, group_by: str, limit: int = 5, group_size: int = 3, distance: str = "Cosine", get=None, id_col: str = "id") -> DataFrame:
+    """search_groups for any form of the universal query."""
+    pool = query(points, request | {"limit": limit * group_size * 2, "offset": 0}, distance, get)
+    return _grouped(pool, group_by, limit, group_size, id_col)
+
+
+def _grouped(pool: DataFrame, group_by: str, limit: int, group_size: int, id_col: str) -> DataFrame:
     keyed = pool.withColumn("group", F.coalesce(F.col(group_by).cast("string"), F.lit("unknown")))
     within = Window.partitionBy("group").orderBy(F.desc("score"), id_col)
     placed = keyed.withColumn("rank", F.row_number().over(within)).withColumn("best", F.max("score").over(Window.partitionBy("group")))
@@ -138,11 +177,28 @@ def search_groups(points: DataFrame, query: list[float], group_by: str, limit: i
     return ranked.where((F.col("rank") <= group_size) & (F.col("group_rank") <= limit))
 
 
+def _batch(results: list[DataFrame]) -> DataFrame:
+    """(query_no, id, score) of several results, one plan."""
+    return reduce(DataFrame.unionByName, [r.select(F.lit(i).alias("query_no"), "id", "score") for i, r in enumerate(results)])
+
+
+def query_batch(points: DataFrame, requests: list[dict], distance: str = "Cosine", get=None) -> DataFrame:
+    """(query_no, id, score): universal queries of any forms, each with its own limit. For many vectors use knn_batch."""
+    return _batch([query(points, r, distance, get) for r in requests])
+
+
+def discover_batch(points: DataFrame, requests: list[dict], distance: str = "Cosine", get=None) -> DataFrame:
+    """(query_no, id, score): requests {target, context, limit, filter}."""
+    return _batch([discover(points, r["target"], r.get("context"), r.get("limit", 10), distance, r.get("filter"), get=get) for r in requests])
+
+
 def query(points: DataFrame, request: dict, distance: str = "Cosine", get=None) -> DataFrame:
     """The universal query: {query, prefetch, using, filter, limit, offset, score_threshold}.
 
-    query is a vector, a multivector, a sparse {indices, values}, an id, or {fusion: rrf} over prefetch legs.
+    query is a vector, a multivector, a sparse {indices, values}, an id, {text} (or the request has text), or
+    {fusion: rrf} over prefetch legs. offset and score_threshold hold for every form.
     """
+    from . import text_search
     from .fusion import rrf
 
     q, limit, flt = request.get("query", request.get("vector")), request.get("limit", 10), request.get("filter")
@@ -151,19 +207,32 @@ def query(points: DataFrame, request: dict, distance: str = "Cosine", get=None)
             raise ValueError("fusion needs prefetch")
         legs = [query(points, leg | {"limit": leg.get("limit", 20)}, distance, get).select("id", "score") for leg in request["prefetch"]]
         return rrf(legs, limit).join(points, "id").orderBy(F.desc("score"), "id")
-    if isinstance(q, dict) and {"indices", "values"} <= q.keys():
-        return sparse_search(points, list(zip(q["indices"], q["values"])), limit, request.get("using", "default"), flt, get=get)
-    if isinstance(q, list) and q and isinstance(q[0], list):
-        return multivector_search(points, q, limit, distance, flt, get=get)
-    if isinstance(q, list) and q:
-        return knn(points, q, limit, distance, flt, request.get("offset", 0), request.get("score_threshold"), get=get)
-    if isinstance(q, (int, str)):
-        return knn_by_id(points, str(q), limit, distance, flt, get=get)
-    raise ValueError("query must be a vector, multivector, sparse vector, id or fusion")
-
-
-def project(hits: DataFrame, with_payload: bool | list[str] | dict = True, with_vector: bool = False, payload: str = "payload") -> DataFrame:
-    """Result columns. with_payload: all, none, a list of fields, or {include} / {exclude}."""
+    offset, threshold = request.get("offset") or 0, request.get("score_threshold")
+    if isinstance(q, list) and q and not isinstance(q[0], list):
+        return knn(points, q, limit, distance, flt, offset, threshold, get=get)
+    if isinstance(q, dict) and "text" in q or q is None and request.get("text"):
+        text = q["text"] if q else request["text"]
+        found = text_search.bm25(points, text, limit + offset, flt=flt, get=get, text_col=request.get("using", "text")).join(points, "id")
+    elif isinstance(q, dict) and {"indices", "values"} <= q.keys():
+        found = sparse_search(points, list(zip(q["indices"], q["values"])), limit + offset, request.get("using", "default"), flt, get=get)
+    elif isinstance(q, list) and q:
+        found = multivector_search(points, q, limit + offset, distance, flt, get=get)
+    elif isinstance(q, (int, str)):
+        found = knn_by_id(points, str(q) if points.schema["id"].dataType.typeName() == "string" else q, limit + offset, distance, flt, get=get)
+    else:
+        raise ValueError("query must be a vector, multivector, sparse vector, text, id or fusion")
+    return top_k(found, limit, offset, threshold)
+
+
+def project(hits: DataFrame, with_payload: bool | list[str] | dict = True, with_vector: bool = False, payload: str = "payload", missing: str = "null") -> DataFrame:
+    """Result columns. with_payload: all, none, a list of fields, or {include} / {exclude}.
+
+    missing: how a missing payload shows, `null` (search, get) or `empty` (scroll: {} for JSON text, a struct of nulls).
+    """
+    if missing == "empty" and payload in hits.columns:
+        kind = hits.schema[payload].dataType
+        blank = F.lit("{}") if kind.typeName() == "string" else F.struct(*[F.lit(None).cast(f.dataType).alias(f.name) for f in kind.fields])
+        hits = hits.withColumn(payload, F.coalesce(payload, blank))
     vectors = [c for c in ("vector", "multivector", "sparse") if c in hits.columns]
     out = hits if with_vector else hits.drop(*vectors)
     if payload not in out.columns or with_payload is True:

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.column import Column
 
 from pointsmith.functions.textfn import tokenize
+from pointsmith.session import cut
+
+from .filters import Columns, certain, compile_filter
 
 K1, B = 1.5, 0.75
 
@@ -22,19 +28,66 @@ def corpus_stats(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.select(F.size(tokenize(F.col(text_col))).alias("len")).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("len"), F.lit(0)).alias("total"))
 
 
-def bm25(docs: DataFrame, query: str, limit: int = 10, text_col: str = "text", id_col: str = "id", k1: float = K1, b: float = B) -> DataFrame:
+def bm25(docs: DataFrame, query: str, limit: int = 10, text_col: str = "text", id_col: str = "id", k1: float = K1, b: float = B, flt: dict | None = None, get=None) -> DataFrame:
     """(id, score) of the best documents that hold a query term; repeated terms count each time.
 
-    One pass: term frequencies of the query's terms are counted per document by array functions, so neither postings nor
-    texts are shuffled; corpus statistics are one broadcast row.
+    The texts are read and split once: each document's length and its frequencies of the query's terms, a few numbers,
+    are written to the shared folder; statistics and scores are made from those. A filter chooses among the hits;
+    statistics are those of all documents.
     """
     spark = docs.sparkSession
-    terms = spark.range(1).select(F.explode(tokenize(F.lit(query))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("times"))
-    tokens = docs.select(F.col(id_col).alias("id"), tokenize(F.col(text_col)).alias("tokens"))
-    hits = tokens.crossJoin(F.broadcast(terms.agg(F.collect_list("term").alias("wanted"))))
-    lengths = hits.select("id", F.size("tokens").alias("len"), F.filter("tokens", lambda t: F.array_contains("wanted", t)).alias("found"))
-    counted = lengths.select("id", "len", F.explode("found").alias("term")).groupBy("id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
-    return _scored(counted, terms, corpus_stats(docs, text_col), limit, k1, b)
+    # The query's terms by the same expressions as the texts'; a constant relation, folded without a job.
+    own = spark.createDataFrame([(query,)], "q string").select(tokenize(F.col("q")).alias("t")).first()["t"] or []
+    times = {t: own.count(t) for t in dict.fromkeys(own)}
+    if not times:
+        return docs.where("false").select(F.col(id_col).alias("id"), F.lit(0.0).alias("score"))
+    keep = certain(compile_filter(flt, get or Columns(docs.schema), id_col)) if flt else F.lit(True)
+    tf = lambda tokens, term: F.size(F.filter(tokens, lambda x: x == F.lit(term)))
+    found = F.transform(F.array(F.col("tokens")), lambda t: F.array(*[tf(t, w) for w in times]))
+    split = docs.select(F.col(id_col).alias("id"), keep.alias("keep"), F.coalesce(tokenize(F.col(text_col)), F.expr("cast(array() as array<string>)")).alias("tokens"))
+    slim = cut(spark, split.select("id", "keep", F.size("tokens").alias("len"), F.get(found, F.lit(0)).alias("tf")))
+    at = lambda i: F.get("tf", F.lit(i))
+    stats = slim.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("len"), F.lit(0)).alias("total"), *[F.count(F.when(at(i) > 0, 1)).alias(f"df{i}") for i in range(len(times))])
+    idf = lambda i: F.greatest(F.lit(0.0), F.log((F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5)))
+    part = lambda i, k: F.when(at(i) > 0, F.lit(k) * idf(i) * at(i) * (k1 + 1) / (at(i) + k1 * (1 - b + b * F.col("len") * F.col("n") / F.col("total")))).otherwise(0.0)
+    hits = slim.where(F.col("keep") & F.exists("tf", lambda x: x > 0)).crossJoin(F.broadcast(stats))
+    score = reduce(Column.__add__, [part(i, k) for i, k in enumerate(times.values())])
+    return hits.select("id", score.alias("score")).orderBy(F.desc("score"), "id").limit(limit)
+
+
+def replace_postings(index: DataFrame, docs: DataFrame, text_col: str = "text", id_col: str = "id") -> DataFrame:
+    """The index with these documents in place of what it had of their ids."""
+    new = postings(docs, text_col, id_col)
+    return delete_postings(index, docs.select(F.col(id_col).alias("id"))).unionByName(new.select(*index.columns))
+
+
+def delete_postings(index: DataFrame, ids: DataFrame) -> DataFrame:
+    """The index without these ids (a frame with the column id)."""
+    return index.join(ids.select("id").distinct(), "id", "left_anti").select(*index.columns)
+
+
+def postings_stats(index: DataFrame, documents: int | None = None) -> DataFrame:
+    """(n, total) of an index: documents that hold a term, and their tokens. documents: their number where some are empty."""
+    own = index.select("id", "doc_len").distinct().agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("doc_len"), F.lit(0)).alias("total"))
+    return own if documents is None else own.withColumn("n", F.lit(documents).cast("bigint"))
+
+
+def write_postings(index: DataFrame, path: str, buckets: int = 64) -> None:
+    """The index in folders by a hash of the term, sorted within files: a query reads its terms' folders only."""
+    dealt = index.withColumn("bucket", term_bucket(F.col("term"), buckets))
+    # Salted by document, so a term that most documents hold is no single task's.
+    dealt.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(8))).sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
+def term_bucket(term: Column, buckets: int = 64) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+
+
+def read_postings(spark, path: str, terms: list[str], buckets: int = 64) -> DataFrame:
+    """What a stored index has of these terms; the folders and the files' row groups of others are not read."""
+    wanted = spark.createDataFrame([(t,) for t in terms], "t string").select(term_bucket(F.col("t"), buckets).alias("b"))
+    numbers = sorted({r["b"] for r in wanted.collect()})
+    return spark.read.parquet(path).where(F.col("bucket").isin(numbers) & F.col("term").isin(list(terms))).drop("bucket")
 
 
 def bm25_postings(index: DataFrame, stats: DataFrame, query: str, limit: int = 10, k1: float = K1, b: float = B) -> DataFrame:

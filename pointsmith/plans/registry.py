@@ -9,7 +9,7 @@ from pyspark.sql.column import Column
 from pointsmith.functions import textfn, vecmath as vm
 from pointsmith.operators import aggregate, filters, fusion, mutate, paging, search, text_search
 from pointsmith.operators.points import as_points
-from pointsmith.session import cut, table
+from pointsmith.session import cut, scratch, scratch_name, table
 from pointsmith.sources import ingest
 
 QUERIES: dict = {}
@@ -264,7 +264,7 @@ def bm25_common_term(spark, d):
 @query(_bm25_sql("heonthe reing"))
 def bm25_stored_index(spark, d):
     docs = _documents(spark, d)
-    index = cut(spark, text_search.postings(docs))
+    index = text_search.read_postings(spark, _stored_postings(spark, d), ["heonthe", "reing"])
     return _hits(text_search.bm25_postings(index, text_search.corpus_stats(docs), "heonthe reing"))
 
 
@@ -289,9 +289,22 @@ def sparse_search(spark, d):
 
 @query(ORACLES["sparse_search"])
 def sparse_search_postings(spark, d):
+    """Over a stored index, of which only the query's terms' folders are read."""
     asked = spark.createDataFrame([("tion", 2.0), ("hean", 1.5), ("reing", -0.5)], "index string, value double")
-    index = text_search.postings(_documents(spark, d)).select("id", F.col("term").alias("index"), F.col("tf").alias("value"))
-    return _hits(search.sparse_search_postings(index, asked))
+    index = text_search.read_postings(spark, _stored_postings(spark, d), ["tion", "hean", "reing"])
+    return _hits(search.sparse_search_postings(index.select("id", F.col("term").alias("index"), F.col("tf").alias("value")), asked))
+
+
+_STORED: dict[tuple, str] = {}
+
+
+def _stored_postings(spark, d) -> str:
+    """The documents' inverted index, written once an application and folder."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _STORED:
+        _STORED[key] = scratch(spark, "postings")
+        text_search.write_postings(text_search.postings(_documents(spark, d)), _STORED[key])
+    return _STORED[key]
 
 
 @query(
@@ -519,7 +532,21 @@ def composite_text(spark, d):
     return table(spark, d, "part").select(F.col("p_partkey").alias("id"), textfn.composite_text(["p_name", "p_brand", "p_type"]).alias("text"))
 
 
-@query()
+# One step of the cut for every text at a time: windows begin at `at`, and end at a mark past their half, or whole.
+_CHUNKS = """WITH RECURSIVE d AS (SELECT doc_id AS id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT id, t, 0 AS pos, -1 AS n, '' AS chunk FROM d WHERE length(t) > 1000
+  UNION ALL
+  SELECT id, t, pos + stop - 200, n + 1, substr(t, pos + 1, stop) FROM (
+    SELECT id, t, pos, n, CASE WHEN pos + 1000 >= length(t) THEN 1000 WHEN para > 500 THEN para WHEN dot > 500 THEN dot + 1 ELSE 1000 END AS stop FROM (
+      SELECT *, CASE WHEN contains(x, chr(10) || chr(10)) THEN length(x) - strpos(reverse(x), chr(10) || chr(10)) - 1 ELSE -1 END AS para,
+        CASE WHEN contains(x, '. ') THEN length(x) - strpos(reverse(x), ' .') - 1 ELSE -1 END AS dot
+      FROM (SELECT *, substr(t, pos + 1, 1000) AS x FROM w WHERE pos < length(t)))))
+SELECT id, (row_number() OVER (PARTITION BY id ORDER BY n) - 1)::INT AS chunk_index, chunk FROM (
+  SELECT id, n, trim(chunk, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS chunk FROM w WHERE n >= 0
+  UNION ALL SELECT id, 0, t FROM d WHERE length(t) <= 1000) WHERE trim(chunk, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> ''"""
+
+
+@query(_CHUNKS)
 def chunk_text(spark, d):
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
     return textfn.chunk_text(docs).select("id", "chunk_index", "chunk")
@@ -532,7 +559,14 @@ def rag_context(spark, d):
     return textfn.rag_context(hits, "text")
 
 
-@query()
+_PAGE = "regexp_replace(html, '(?is)<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>|<!--.*?-->', ' ', 'g')"
+_PAGE = f"regexp_replace(regexp_replace({_PAGE}, '(?i)<(br|/p|/div|/li|/h[1-6]|/tr)\\b[^>]*>', chr(10), 'g'), '<[^>]*>', ' ', 'g')"
+for _entity, _char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
+    _PAGE = f"replace({_PAGE}, '{_entity}', '{_char}')"
+_PAGE = f"trim(regexp_replace(regexp_replace({_PAGE}, '[ \\t]+', ' ', 'g'), ' ?\\n[ \\n]*', chr(10), 'g'), ' ' || chr(10))"
+
+
+@query(f"SELECT page_id AS id, url, {_PAGE} AS text FROM pages")
 def page_text(spark, d):
     return table(spark, d, "pages").select(F.col("page_id").alias("id"), "url", ingest.html_text(F.col("html")).alias("text"))
 
@@ -542,11 +576,9 @@ def page_text(spark, d):
 def snapshot_roundtrip(spark, d):
     """Into a collection, a snapshot of it, and the collection recovered from that."""
     from pointsmith.operators.points import CollectionConfig
-    from pointsmith.session import shared_dir
     from pointsmith.sources.catalog import Catalog
-    import uuid
 
-    catalog = Catalog(spark, f"{shared_dir(spark).rstrip('/')}/catalog-{uuid.uuid4().hex}")
+    catalog = Catalog(spark, scratch(spark, "catalog"))
     catalog.create_collection(CollectionConfig("vectors", 64))
     catalog.write("vectors", as_points(table(spark, d, "embeddings"), "vec_id", "embedding"))
     label = catalog.create_snapshot("vectors")
@@ -558,10 +590,8 @@ def snapshot_roundtrip(spark, d):
 @query()
 def ann_ivf(spark, d):
     from pointsmith.operators import ann
-    from pointsmith.session import shared_dir
-    import uuid
 
-    path = f"{shared_dir(spark).rstrip('/')}/ann-{uuid.uuid4().hex}"
+    path = scratch(spark, "ann")
     points = _vectors(spark, d)
     centres = ann.build(points, path)
     index = spark.read.parquet(f"{path}/cells")
@@ -572,15 +602,363 @@ def ann_ivf(spark, d):
 @query("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def stream_windowed_counts(spark, d):
     """Events as a stream, counted by the hour and type until the input is used up."""
-    import uuid
-
-    from pointsmith.session import shared_dir
-    from pointsmith.streaming.upserts import windowed_counts
+    from pointsmith.streaming.upserts import latest_counts, read_latest, windowed_counts
 
     schema = table(spark, d, "events").schema
-    base = f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    base = scratch(spark, "stream")
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d).withColumn("at", F.col("ts").cast("timestamp"))
-    name = f"counts_{uuid.uuid4().hex}"
-    q = windowed_counts(stream, "at", "event_type", late="0 seconds").writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", base).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name).select(F.date_format("start", "yyyy-MM-dd HH").alias("start"), "event_type", "n")
+    # The whole input is one batch, so its end is a watermark only the next batch would see: open windows count too.
+    counts = windowed_counts(stream, "at", "event_type", late="0 seconds").withColumnRenamed("end", "stop")
+    latest_counts(counts, f"{base}/table", f"{base}/checkpoint", ["start", "event_type"]).awaitTermination()
+    found = read_latest(spark, f"{base}/table", ["start", "event_type"])
+    return found.select(F.date_format("start", "yyyy-MM-dd HH").alias("start"), "event_type", "n")
+
+
+# -- batches, groups and other forms of the universal query
+@query(f"SELECT query_id, id, round(s, 6) AS score, rank FROM (SELECT q.vec_id AS query_id, p.vec_id AS id, list_cosine_similarity(p.{_V}, q.{_V}) AS s, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(p.{_V}, q.{_V}) DESC, p.vec_id)::INT AS rank FROM embeddings p, embeddings q) WHERE rank <= 10")
+def knn_batch_all(spark, d):
+    """Every vector as a query against all."""
+    points = _vectors(spark, d)
+    found = search.knn_batch(points, points.select(F.col("id").alias("query_id"), F.col("vector").alias("q")))
+    return found.select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+
+
+_LEGS = f"""SELECT 0 AS query_no, * FROM ({_knn_sql(where="label = 2", k=5)})
+UNION ALL SELECT 1, * FROM ({_knn_sql(where="vec_id <> 0", k=7)})
+UNION ALL SELECT 2, * FROM (SELECT id, score FROM ({_knn_sql(k=8)}) OFFSET 3)"""
+
+
+@query(_LEGS)
+def query_batch(spark, d):
+    """A filtered vector, an id, and a vector with an offset, as one batch."""
+    q = _vector_of(spark, d)
+    asked = [{"query": q, "limit": 5, "filter": {"must": [{"key": "label", "match": {"value": 2}}]}}, {"query": 0, "limit": 7}, {"query": q, "limit": 5, "offset": 3}]
+    return search.query_batch(_vectors(spark, d), asked).select("query_no", "id", F.round("score", 6).alias("score"))
+
+
+@query(f"""SELECT 0 AS query_no, * FROM ({_knn_sql(where="label < 5", k=6)})
+UNION ALL SELECT 1, id, score FROM ({ORACLES["discover_context"]})""")
+def discover_batch(spark, d):
+    asked = [{"target": 0, "limit": 6, "filter": {"must": [{"key": "label", "range": {"lt": 5}}]}}, {"target": 0, "context": [(1, 2), (3, 4)]}]
+    return search.discover_batch(_vectors(spark, d), asked).select("query_no", "id", F.round("score", 6).alias("score"))
+
+
+@query(ORACLES["search_groups"].replace("FROM embeddings ORDER BY s", "FROM embeddings WHERE vec_id <> 0 ORDER BY s"))
+def query_groups(spark, d):
+    """Groups over a query by id."""
+    return _hits(search.query_groups(_vectors(spark, d), {"query": 0}, "label", limit=4, group_size=3), "group", "rank", "group_rank")
+
+
+@query(f"SELECT id, score FROM ({_bm25_sql('heonthe reing', 1000000)}) JOIN documents ON doc_id = id WHERE source = (SELECT min(source) FROM documents) ORDER BY score DESC, id LIMIT 10")
+def bm25_filtered(spark, d):
+    """Text search with a filter: statistics are those of all documents."""
+    docs = _documents(spark, d)
+    source = docs.agg(F.min("source")).first()[0]
+    return _hits(text_search.bm25(docs, "heonthe reing", flt={"must": [{"key": "source", "match": {"value": source}}]}))
+
+
+@query(f"SELECT id, score FROM ({_bm25_sql('heonthe reing', 12)}) ORDER BY score DESC, id LIMIT 8 OFFSET 4")
+def query_text(spark, d):
+    """Text as a form of the universal query, with an offset."""
+    return _hits(search.query(_documents(spark, d), {"query": {"text": "heonthe reing"}, "limit": 8, "offset": 4}))
+
+
+@query(f"SELECT id, score FROM ({ORACLES['sparse_search']}) WHERE score >= 3 ORDER BY score DESC, id LIMIT 6 OFFSET 2")
+def query_sparse_page(spark, d):
+    """A sparse vector as a form of the universal query, with threshold and offset."""
+    import zlib
+
+    words = {"tion": 2.0, "hean": 1.5, "reing": -0.5}
+    asked = {"indices": [zlib.crc32(w.encode()) for w in words], "values": list(words.values())}
+    return _hits(search.query(_sparse(spark, d), {"query": asked, "limit": 6, "offset": 2, "score_threshold": 3.0}))
+
+
+@query(ORACLES["maxsim_dot"])
+def query_multivector(spark, d):
+    points = _multi(spark, d).withColumn("vector", F.lit(None).cast("array<float>"))
+    return _hits(search.query(points, {"query": [_vector_of(spark, d, 0), _vector_of(spark, d, 1)]}, "Dot"))
+
+
+@query("SELECT count(*) AS n_queries, true AS recalled, true AS few_read FROM embeddings WHERE vec_id % 20 = 0")
+def ann_recall(spark, d):
+    """Binary codes against exact search, queries with ids divisible by 20: recall@10 of 0.9 or more, and at most 20% of
+    the rows ranked by their vectors (4.4 times the root of the rows, 100 at least)."""
+    from pointsmith.operators import ann
+
+    points = _vectors(spark, d)
+    asked = points.where("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("vector").alias("q"))
+    index = cut(spark, ann.with_codes(points, len(_vector_of(spark, d))))
+    found, exact = ann.search_codes(index, asked), search.knn_batch(points, asked)
+    both = exact.select("query_id", "id").join(found.select("query_id", "id", F.lit(1).alias("hit")), ["query_id", "id"], "left")
+    rows = index.count()
+    return both.agg(F.countDistinct("query_id").alias("n_queries"), (F.count("hit") >= 0.9 * F.count(F.lit(1))).alias("recalled"), F.lit(ann.candidates(rows, 10) <= max(100, 0.2 * rows)).alias("few_read"))
+
+
+@query(ORACLES["knn_cosine"])
+def search_strategy(spark, d):
+    """The dispatcher: few rows are searched exactly, whether there is an index or not."""
+    from pointsmith.operators import ann
+
+    points = _vectors(spark, d)
+    one = points.where("id = 0").select(F.col("id").alias("query_id"), F.col("vector").alias("q"))
+    return _hits(ann.search_any(points, one, exact_rows=10**9))
+
+
+@query("SELECT vec_id AS id FROM embeddings WHERE vec_id NOT IN (1, 2, 3)")
+def ann_remove(spark, d):
+    from pointsmith.operators import ann
+
+    return ann.remove(_vectors(spark, d), [1, 2, 3]).select("id")
+
+
+@query("SELECT vec_id // 4 AS id, count(*)::INT AS n_rows, true AS whole, 64 AS width, round(min_by(embedding::DOUBLE[], vec_id)[1], 6) AS first FROM embeddings GROUP BY 1")
+def multivector_accessors(spark, d):
+    mv = F.col("multivector")
+    return _multi(spark, d).select("id", F.size(mv).alias("n_rows"), vm.is_multivector(mv).alias("whole"), vm.dim(vm.first(mv)).alias("width"), F.round(F.get(vm.first(mv), F.lit(0)).cast("double"), 6).alias("first"))
+
+
+# -- more of the filter language
+@query("SELECT doc_id AS id FROM documents WHERE contains(text, 'The ')")
+def filter_contains(spark, d):
+    """A part of a text as it is written."""
+    return search.filtered(_documents(spark, d), {"must": [{"key": "text", "match": {"contains": "The "}}]}).select("id")
+
+
+@query("SELECT o_orderkey AS id FROM orders WHERE o_totalprice >= 200000 AND o_orderkey % 3 = 1 AND NOT (o_custkey % 2 = 0)")
+def filter_own_column(spark, d):
+    """Conditions of the caller's own, as Columns within a filter."""
+    flt = {"must": [{"key": "o_totalprice", "range": {"gte": 200000}}, F.col("o_orderkey") % 3 == 1], "must_not": [F.col("o_custkey") % 2 == 0]}
+    return search.filtered(_orders(spark, d), flt).select(F.col("o_orderkey").alias("id"))
+
+
+@query("SELECT o_orderkey AS id FROM orders WHERE o_totalprice > 300000")
+def filter_legacy(spark, d):
+    return search.filtered(_orders(spark, d), {"field": "o_totalprice", "operator": "gt", "value": 300000}).select(F.col("o_orderkey").alias("id"))
+
+
+@query("SELECT o_orderkey AS id FROM orders WHERE o_orderstatus <> 'F'")
+def filter_legacy_ne(spark, d):
+    return search.filtered(_orders(spark, d), {"field": "o_orderstatus", "operator": "ne", "value": "F"}).select(F.col("o_orderkey").alias("id"))
+
+
+@query("SELECT count(*) FILTER (false) AS unknown, count(*) AS negated, count(*) AS nothing FROM orders")
+def filter_unknown(spark, d):
+    """Unknown conditions and keys are false, also under a negation; no filter keeps all."""
+    orders = _orders(spark, d)
+    n = lambda flt: search.filtered(orders, flt).count()
+    return spark.createDataFrame([(n({"must": [{"key": "o_custkey", "near": 1}]}), n({"must_not": [{"key": "nowhere", "match": {"value": 1}}]}), n({}))], "unknown long, negated long, nothing long")
+
+
+@query("SELECT event_id AS id FROM events WHERE json_extract_string(props, '$.k')::INT IN (1, 2, 3)")
+def filter_array_any(spark, d):
+    """A list in the payload against a list of wanted values."""
+    own = table(spark, d, "events").select(F.col("event_id").alias("id"), F.array(F.get_json_object("props", "$.k").cast("int"), F.lit(-1)).alias("ks"))
+    return search.filtered(own, {"must": [{"key": "ks", "match": {"any": [1, 2, 3]}}]}).select("id")
+
+
+# -- projections
+def _payload(spark, d) -> DataFrame:
+    return as_points(table(spark, d, "part"), "p_partkey")
+
+
+@query("SELECT p_partkey::VARCHAR AS id, p_name AS name, p_size AS size FROM part")
+def project_fields(spark, d):
+    out = search.project(_payload(spark, d), ["p_name", "p_size"])
+    return out.select("id", F.col("payload.p_name").alias("name"), F.col("payload.p_size").alias("size"))
+
+
+@query("SELECT p_partkey::VARCHAR AS id, 5 AS n_fields, false AS has_vector FROM part")
+def project_exclude(spark, d):
+    out = search.project(_payload(spark, d), {"exclude": ["p_retailprice"]})
+    return out.select("id", F.lit(len(out.schema["payload"].dataType.fieldNames())).alias("n_fields"), F.lit("vector" in out.columns).alias("has_vector"))
+
+
+@query("SELECT p_partkey::VARCHAR AS id, CASE WHEN p_partkey % 2 = 0 THEN '{}' ELSE '{\"a\":1}' END AS scrolled, CASE WHEN p_partkey % 2 = 0 THEN NULL ELSE '{\"a\":1}' END AS got FROM part")
+def project_missing(spark, d):
+    """A missing payload: null in search and get, {} in scroll."""
+    own = table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("id"), F.when(F.col("p_partkey") % 2 != 0, F.lit('{"a":1}')).alias("payload"))
+    scrolled = search.project(own, missing="empty").withColumnRenamed("payload", "scrolled")
+    return scrolled.join(search.project(own).withColumnRenamed("payload", "got"), "id")
+
+
+# -- JSON payload edits
+_JSON_EVENTS = "SELECT event_id AS id, json_extract_string(props, '$.k')::BIGINT AS k"
+
+
+def _json_events(spark, d) -> DataFrame:
+    return table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("props").alias("payload"), "event_type")
+
+
+@query(_JSON_EVENTS + ", CASE WHEN event_type = 'click' THEN 'yes' END AS seen FROM events")
+def set_payload_json(spark, d):
+    out = mutate.set_payload(_json_events(spark, d), {"seen": "yes"}, flt={"must": [{"key": "event_type", "match": {"value": "click"}}]}, payload="payload")
+    return out.select("id", F.get_json_object("payload", "$.k").cast("long").alias("k"), F.get_json_object("payload", "$.seen").alias("seen"))
+
+
+@query("SELECT event_id AS id, CASE WHEN event_id < 100 THEN NULL ELSE json_extract_string(props, '$.k')::BIGINT END AS k FROM events")
+def delete_keys_json(spark, d):
+    own = _json_events(spark, d)
+    out = mutate.delete_payload_keys(own, ["k"], flt={"must": [{"key": "id", "range": {"lt": 100}}]}, payload="payload")
+    return out.select("id", F.get_json_object("payload", "$.k").cast("long").alias("k"))
+
+
+@query("SELECT event_id AS id, CASE WHEN event_id < 100 THEN '{\"z\": 1}' END AS payload FROM events")
+def overwrite_and_clear_json(spark, d):
+    out = mutate.overwrite_payload(_json_events(spark, d), {"z": 1}, flt={"must": [{"key": "id", "range": {"lt": 100}}]})
+    return mutate.clear_payload(out, "payload", flt={"must": [{"key": "id", "range": {"gte": 100}}]}).select("id", "payload")
+
+
+@query("SELECT vec_id // 4 AS id, CASE WHEN vec_id // 4 < 10 THEN NULL ELSE count(*)::INT END AS n_rows FROM embeddings GROUP BY vec_id // 4")
+def delete_multivectors(spark, d):
+    out = mutate.delete_vectors(_multi(spark, d), ["multivector"], flt={"must": [{"key": "id", "range": {"lt": 10}}]})
+    return out.select("id", F.when(F.col("multivector").isNotNull(), F.size("multivector")).alias("n_rows"))
+
+
+# -- SQL functions and tools
+@query(f"SELECT vec_id AS id, round(list_dot_product({_V}, {_Q0}), 6) AS dot, round({_COS}, 6) AS cosine, round(list_distance({_V}, {_Q0}), 6) AS l2 FROM embeddings")
+def sql_functions(spark, d):
+    """The scalar functions, called from SQL."""
+    from pointsmith.functions import sqlfn
+
+    sqlfn.register(spark)
+    view = scratch_name("vectors")
+    _vectors(spark, d).select("id", F.col("vector").cast("array<double>").alias("v")).createOrReplaceTempView(view)
+    q = f"(SELECT first(v) FROM {view} WHERE id = 0)"
+    return spark.sql(f"SELECT id, round(vec_dot(v, {q}), 6) AS dot, round(vec_cosine(v, {q}), 6) AS cosine, round(vec_l2(v, {q}), 6) AS l2 FROM {view}")
+
+
+@query(ORACLES["tokenize_counts"])
+def sql_tokens(spark, d):
+    from pointsmith.functions import sqlfn
+
+    sqlfn.register(spark)
+    view = scratch_name("documents")
+    _documents(spark, d).select("id", "text").createOrReplaceTempView(view)
+    return spark.sql(f"SELECT id, size(t) AS n_tokens, size(array_distinct(t)) AS n_terms FROM (SELECT id, text_tokens(text) AS t FROM {view})")
+
+
+@query("SELECT count(*) AS count FROM lineitem WHERE l_returnflag IN ('A', 'R') AND l_quantity >= 10 AND l_quantity < 20 AND l_linestatus = 'F'")
+def tool_count_records(spark, d):
+    from pointsmith.operators.tools import Tools
+
+    return Tools(table(spark, d, "lineitem")).count_records({"l_returnflag": ["A", "R"], "l_quantity": {"gte": 10, "lt": 20}, "l_linestatus": "F"})
+
+
+@query(_knn_sql(where="label IN (1, 2)"))
+def tool_vector_search(spark, d):
+    from pointsmith.operators.tools import Tools
+
+    return _hits(Tools(_vectors(spark, d)).vector_search(_vector_of(spark, d), {"label": [1, 2]}))
+
+
+@query("SELECT o_orderkey AS id FROM orders WHERE NOT (o_orderstatus = 'P')")
+def tool_delete_records(spark, d):
+    from pointsmith.operators.tools import Tools
+
+    return Tools(_orders(spark, d)).delete_records({"o_orderstatus": "P"}).select(F.col("o_orderkey").alias("id"))
+
+
+# -- sources
+def _bytes_of_text(spark, df: DataFrame, kind: str, **options) -> str:
+    path = scratch(spark, kind)
+    getattr(df.write, kind)(path, **options)
+    return path
+
+
+@query("SELECT vec_id::VARCHAR AS id, vec_id AS id_num, len(embedding)::INT AS width, label, round(embedding[1]::DOUBLE, 5) AS first FROM embeddings")
+def read_json_points(spark, d):
+    """Points as JSON lines, written and read back."""
+    own = table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("id"), F.col("embedding").alias("vector"), F.struct("label").alias("payload"))
+    back = ingest.read_points_json(spark, _bytes_of_text(spark, own, "json"))
+    return back.select("id", "id_num", F.size("vector").alias("width"), F.get_json_object("payload", "$.label").cast("int").alias("label"), F.round(F.col("vector")[0].cast("double"), 5).alias("first"))
+
+
+@query("SELECT s_suppkey::DOUBLE AS s_suppkey, s_name, s_nationkey::DOUBLE AS s_nationkey, s_acctbal FROM supplier")
+def read_csv_table(spark, d):
+    """A CSV with kinds found by looking at all cells."""
+    return ingest.read_csv(spark, _bytes_of_text(spark, table(spark, d, "supplier"), "csv", header=True))
+
+
+@query("SELECT item_id, text FROM benchmark")
+def read_text_files(spark, d):
+    """A folder of text files, a file a document."""
+    rows = table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("item"), F.col("text").alias("value"))
+    path = scratch(spark, "texts")
+    rows.write.partitionBy("item").text(path, lineSep="\x00")
+    read = ingest.read_texts(spark, f"{path}/item=*")
+    return read.select(F.regexp_extract("path", "item=([0-9]+)", 1).cast("long").alias("item_id"), F.replace("text", F.lit("\x00"), F.lit("")).alias("text"))
+
+
+def _catalog(spark, d):
+    from pointsmith.operators.points import CollectionConfig
+    from pointsmith.sources.catalog import Catalog
+
+    catalog = Catalog(spark, scratch(spark, "catalog"))
+    catalog.create_collection(CollectionConfig("vectors", 64))
+    return catalog
+
+
+@query("SELECT 'vectors' AS name, true AS direct, true AS renamed, false AS gone, 'label:integer' AS indexes, 3::BIGINT AS operations, count(*) FILTER (vec_id >= 5) AS points FROM embeddings")
+def catalog_calls(spark, d):
+    """Collections, aliases, payload indexes and the operation counter."""
+    catalog = _catalog(spark, d)
+    points = as_points(table(spark, d, "embeddings"), "vec_id", "embedding")
+    catalog.write("vectors", points)
+    catalog.create_alias("old", "vectors")
+    catalog.rename_alias("old", "new")
+    catalog.create_payload_index("new", "label", "integer")
+    catalog.write("new", points)
+    last = catalog.write("new", mutate.delete_by_ids(catalog.points("new"), list(range(5))))
+    row = (catalog.list_collections()[0], catalog.collection_exists("vectors"), catalog.list_aliases("vectors") == {"new": "vectors"}, catalog.collection_exists("old"), ",".join(f"{k}:{v}" for k, v in catalog.get_payload_indexes("vectors").items()), last, catalog.points("new").count())
+    return spark.createDataFrame([row], "name string, direct boolean, renamed boolean, gone boolean, indexes string, operations long, points long")
+
+
+@query("SELECT vec_id::VARCHAR AS id, label FROM embeddings")
+def dump_roundtrip(spark, d):
+    """The whole database saved twice to one path, and loaded."""
+    catalog = _catalog(spark, d)
+    path = scratch(spark, "dump")
+    catalog.save_all(path)
+    catalog.write("vectors", as_points(table(spark, d, "embeddings"), "vec_id", "embedding"))
+    catalog.save_all(path)
+    catalog.delete_collection("vectors")
+    catalog.load_all(path)
+    return catalog.points("vectors").select("id", "payload.label")
+
+
+@query("SELECT n_nationkey::VARCHAR AS id, n_name AS name FROM nation")
+def import_snapshot_file(spark, d):
+    """A snapshot as one gzipped JSON file, uploaded with its checksum."""
+    import gzip
+    import hashlib
+    import json
+
+    catalog = _catalog(spark, d)
+    rows = table(spark, d, "nation").select("n_nationkey", "n_name").collect()  # 25 rows at any size
+    body = gzip.compress(json.dumps({"config": {"vector_dim": 0}, "points": [{"id": r[0], "payload": {"name": r[1]}} for r in rows]}).encode())
+    catalog.upload_snapshot("nations", body, hashlib.sha256(body).hexdigest())
+    return catalog.points("nations").select("id", F.get_json_object("payload", "$.name").alias("name"))
+
+
+@query("SELECT o_orderkey AS id, o_totalprice + 1 AS price FROM orders")
+def stream_upserts(spark, d):
+    """A stream of orders into a collection, started twice: each batch counts once."""
+    from pointsmith.operators.points import CollectionConfig
+    from pointsmith.sources.catalog import Catalog
+    from pointsmith.streaming import upserts
+
+    catalog = Catalog(spark, scratch(spark, "catalog"))
+    catalog.create_collection(CollectionConfig("orders", 0))
+    schema = table(spark, d, "orders").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "orders.parquet").parquet(d).select(F.col("o_orderkey").alias("id"), (F.col("o_totalprice") + 1).alias("price"), F.lit(None).cast("array<float>").alias("vector"))
+    checkpoint = scratch(spark, "checkpoint")
+    for _ in range(2):
+        upserts.stream_upserts(stream, catalog, "orders", checkpoint).awaitTermination()
+    return catalog.points("orders").where("version = 0").select("id", "price")
+
+
+@query("SELECT 'ok' AS health, 'ready' AS ready, 0 AS issues")
+def service_constants(spark, d):
+    from pointsmith.sources.catalog import SERVICE
+
+    return spark.createDataFrame([(SERVICE["health"]["status"], SERVICE["ready"]["status"], len(SERVICE["issues"]["issues"]))], "health string, ready string, issues int")

@@ -1,7 +1,8 @@
 """Collections as versioned Parquet tables under one folder: catalog, aliases, payload indexes, snapshots.
 
-Every write goes to a new version folder and then moves a small pointer file, so readers see whole versions and a lost
-writer leaves the old one. All paths are Hadoop paths; nothing is opened with local file calls.
+Every write goes to a new version folder, and then the next numbered catalog file is created. Creating it fails if
+another writer has made that number, so no update is lost; the one with the largest number counts, so a writer that is
+lost on its way leaves the old state, whole. All paths are Hadoop paths; nothing is opened with local file calls.
 """
 
 from __future__ import annotations
@@ -53,18 +54,57 @@ class Files:
             stream.close()
 
     def write(self, path: str, data: bytes) -> None:
-        """Whole or not at all: written beside, then renamed."""
+        """Whole or not at all: written beside, then renamed over."""
+        beside = f"{path}.{uuid.uuid4().hex}.new"
+        self._put(beside, data)
         fs, p = self._at(path)
-        beside = self.jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.new")
-        out = fs.create(beside, True)
+        if fs.exists(p):
+            fs.delete(p, False)
+        if not fs.rename(self.jvm.org.apache.hadoop.fs.Path(beside), p):
+            raise OSError(f"cannot write {path}")
+
+    def _put(self, path: str, data: bytes) -> None:
+        fs, p = self._at(path)
+        out = fs.create(p, False)
         try:
             out.write(bytearray(data))
         finally:
             out.close()
+
+    def create(self, path: str, data: bytes) -> bool:
+        """False if the file is there. Written beside, then renamed to a name that no one has: readers see it whole."""
+        fs, p = self._at(path)
         if fs.exists(p):
-            fs.delete(p, False)
-        if not fs.rename(beside, p):
-            raise OSError(f"cannot write {path}")
+            return False
+        # A claim decides between writers on file systems whose rename replaces files.
+        try:
+            fs.create(self.jvm.org.apache.hadoop.fs.Path(f"{path}.claim"), False).close()
+        except Exception:  # noqa: BLE001  another writer has it
+            return False
+        beside = f"{path}.{uuid.uuid4().hex}.new"
+        self._put(beside, data)
+        return bool(fs.rename(self.jvm.org.apache.hadoop.fs.Path(beside), p))
+
+
+class Conflict(RuntimeError):
+    """Another writer has changed the catalog meanwhile; the state is theirs, nothing of this write counts."""
+
+
+#: How long a claim without a catalog file, of a writer that was lost, holds others up.
+CLAIM_SECONDS = 30
+
+
+#: One file that is read on the driver, at most.
+MAX_IMPORT_BYTES = 256 << 20
+
+#: Fixed answers of the service calls; there is no service, so they have no state.
+SERVICE = {
+    "health": {"status": "ok"},
+    "ready": {"status": "ready"},
+    "cluster": {"status": "disabled"},
+    "issues": {"issues": []},
+    "telemetry": {"collections": {}},
+}
 
 
 class Catalog:
@@ -72,12 +112,38 @@ class Catalog:
         self.spark, self.root, self.files = spark, root.rstrip("/"), Files(spark)
 
     # -- names
+    def _numbers(self) -> list[int]:
+        return sorted(int(n[8:-5]) for n in self.files.names(f"{self.root}/catalog") if n.startswith("catalog-") and n.endswith(".json"))
+
     def _meta(self) -> dict:
-        path = f"{self.root}/catalog.json"
-        return json.loads(self.files.read(path)) if self.files.exists(path) else {"collections": {}, "aliases": {}}
+        """The state of the largest number. A file that a writer has just removed is looked up again."""
+        for _ in range(5):
+            numbers = self._numbers()
+            if not numbers:
+                return {"collections": {}, "aliases": {}, "number": 0}
+            try:
+                return json.loads(self.files.read(f"{self.root}/catalog/catalog-{numbers[-1]:012d}.json")) | {"number": numbers[-1]}
+            except Exception:  # noqa: BLE001
+                if self._numbers()[-1:] == numbers[-1:]:
+                    raise
+        raise Conflict("the catalog changes faster than it can be read")
 
     def _save(self, meta: dict) -> None:
-        self.files.write(f"{self.root}/catalog.json", json.dumps(meta, indent=1, sort_keys=True).encode())
+        """The state after `meta`'s number; Conflict if there is one already. The last five states stay."""
+        number = meta["number"] + 1
+        path = f"{self.root}/catalog/catalog-{number:012d}.json"
+        data = json.dumps(meta | {"number": number}, indent=1, sort_keys=True).encode()
+        began = time.time()
+        while not self.files.create(path, data):
+            if self.files.exists(path):
+                raise Conflict(f"catalog state {number} is another writer's")
+            if time.time() - began > CLAIM_SECONDS:  # a writer was lost between its claim and its file
+                self.files.delete(f"{path}.claim")
+                began = time.time()
+            time.sleep(0.2)
+        for old in self._numbers()[:-5]:
+            for tail in ("", ".claim"):
+                self.files.delete(f"{self.root}/catalog/catalog-{old:012d}.json{tail}")
 
     def resolve(self, name: str) -> str:
         """A collection's own name; a direct name comes before an alias."""
@@ -160,28 +226,51 @@ class Catalog:
         own = self._meta()["collections"][self.resolve(name)]
         return self.spark.read.parquet(own["path"]) if own["path"] else self.spark.createDataFrame([], POINTS)
 
-    def write(self, name: str, points: DataFrame) -> int:
-        """points become the collection's next version; returns the operation's number. The last two versions stay."""
+    def write(self, name: str, points: DataFrame, batch: tuple[str, int] | None = None, since: int | None = None) -> int:
+        """points become the collection's next version; returns the operation's number. The last two versions stay.
+
+        batch (stream, number) is kept in the same catalog entry, so a batch and its number are committed at once.
+        since: the collection's version that points were made from; Conflict if it has moved on meanwhile.
+        """
         own = self.resolve(name)
         path = f"{self.root}/data/{own}/v-{time.time_ns()}-{uuid.uuid4().hex[:8]}"
         points.write.parquet(path)
-        meta = self._meta()
-        entry = meta["collections"][own]
-        entry |= {"path": path, "version": entry["version"] + 1, "operations": entry["operations"] + 1}
-        self._save(meta)
+        for attempt in range(20):
+            meta = self._meta()
+            entry = meta["collections"][own]
+            if since is not None and entry["version"] != since:
+                self.files.delete(path)
+                raise Conflict(f"{own} has moved on from version {since} to {entry['version']}")
+            entry |= {"path": path, "version": entry["version"] + 1, "operations": entry["operations"] + 1}
+            if batch:
+                entry["batches"] = entry.get("batches", {}) | {batch[0]: batch[1]}
+            try:
+                self._save(meta)
+                break
+            except Conflict:  # of another collection's change: its state is read and ours added
+                if attempt == 19:
+                    raise
         for old in self.files.names(f"{self.root}/data/{own}")[:-2]:
             self.files.delete(f"{self.root}/data/{own}/{old}")
         return entry["operations"]
 
-    def upsert(self, name: str, incoming: DataFrame, order_col: str | None = None) -> int:
-        """The whole batch or nothing: a vector of a wrong length fails the write before the pointer moves."""
+    def last_batch(self, name: str, stream: str) -> int:
+        """The number of the stream's last batch that is in the collection, -1 for none."""
+        return self._meta()["collections"][self.resolve(name)].get("batches", {}).get(stream, -1)
+
+    def upsert(self, name: str, incoming: DataFrame, order_col: str | None = None, batch: tuple[str, int] | None = None) -> int:
+        """The whole batch or nothing: a vector of a wrong length fails the write before the catalog moves.
+
+        The collection is rewritten by one aggregate over ids, so few large batches are better than many small ones.
+        """
         from pointsmith.operators.points import check_dimension
 
+        version = self._meta()["collections"][self.resolve(name)]["version"]
         checked = check_dimension(incoming, self.get_config(name).vector_dim)
         current = self.points(name)
         if current.isEmpty() and set(checked.columns) - set(current.columns):
             current = self.spark.createDataFrame([], checked.schema)
-        return self.write(name, mutate.upsert(current, checked, order_col=order_col))
+        return self.write(name, mutate.upsert(current, checked, order_col=order_col), batch, version)
 
     # -- snapshots
     def _snapshots(self, name: str) -> str:
@@ -199,7 +288,7 @@ class Catalog:
 
     @staticmethod
     def _checksum(df: DataFrame) -> dict:
-        row = df.agg(F.count(F.lit(1)).alias("n"), F.expr(f"bit_xor(xxhash64(to_json(struct({', '.join(f'`{c}`' for c in sorted(df.columns))}))))").alias("x")).first()
+        row = df.agg(F.count(F.lit(1)).alias("n"), F.expr(f"sum(cast(xxhash64(to_json(struct({', '.join(f'`{c}`' for c in sorted(df.columns))}))) as decimal(38,0)))").alias("x")).first()
         return {"rows": row["n"], "checksum": str(row["x"])}
 
     def list_snapshots(self, name: str | None = None) -> list[str]:
@@ -264,19 +353,36 @@ class Catalog:
         self.write(name, points.withColumn("version", F.coalesce("version", F.lit(0)).cast("bigint")))
         return "json"
 
-    def import_url(self, name: str, url: str, checksum: str | None = None) -> str:
-        """A snapshot file from a URL, or of any path that Hadoop knows."""
+    def upload_snapshot(self, name: str, data: bytes, checksum: str | None = None) -> str:
+        """A snapshot file that a client sends: kept beside the collection's snapshots, then imported."""
+        if checksum and hashlib.sha256(data).hexdigest() != checksum.lower():
+            raise ValueError("checksum does not match")
+        own = self._own_or(name)
+        self.files.write(f"{self.root}/snapshots/{own}/uploads/{hashlib.sha256(data).hexdigest()[:16]}.snapshot", data)
+        return self.import_bytes(name, data)
+
+    def import_url(self, name: str, url: str, checksum: str | None = None, most: int = MAX_IMPORT_BYTES) -> str:
+        """A snapshot file from a URL of at most `most` bytes, or of any path that Hadoop knows."""
         if url.startswith(("http://", "https://")):
             with urllib.request.urlopen(url) as r:
-                return self.import_bytes(name, r.read(), checksum)
+                data = r.read(most + 1)
+            if len(data) > most:
+                raise ValueError(f"more than {most} bytes: give large data as a folder that Spark reads")
+            return self.import_bytes(name, data, checksum)
         return self.import_bytes(name, self.files.read(url), checksum)
 
     # -- the whole database
     def save_all(self, path: str) -> None:
-        """Every collection's current version under path; the manifest is written last and commits the dump."""
-        for name in self.list_collections():
-            self.points(name).write.mode("overwrite").parquet(f"{path}/{name}")
-        self.files.write(f"{path}/manifest.json", json.dumps(self._meta()).encode())
+        """Every collection's current version under path, in a folder of this dump; the manifest is written last and
+        commits it. The dump before stays whole until then, and goes afterwards."""
+        part = f"dump-{time.time_ns()}"
+        meta = self._meta()
+        for name in sorted(meta["collections"]):
+            self.points(name).write.parquet(f"{path}/{part}/{name}")
+        self.files.write(f"{path}/manifest.json", json.dumps(meta | {"part": part}).encode())
+        for old in self.files.names(path):
+            if old.startswith("dump-") and old != part:
+                self.files.delete(f"{path}/{old}")
 
     def load_all(self, path: str) -> None:
         if not self.files.exists(f"{path}/manifest.json"):
@@ -286,7 +392,7 @@ class Catalog:
             if self.collection_exists(name):
                 self.delete_collection(name)
             self.create_collection(CollectionConfig(**{k: entry[k] for k in CollectionConfig.__dataclass_fields__}))
-            self.write(name, self.spark.read.parquet(f"{path}/{name}"))
+            self.write(name, self.spark.read.parquet(f"{path}/{meta['part']}/{name}"))
         now = self._meta()
         now["aliases"] |= meta["aliases"]
         self._save(now)

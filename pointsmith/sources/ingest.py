@@ -86,23 +86,27 @@ def docx_text(data: bytes) -> str:
 
 
 def read_documents(spark: SparkSession, path: str, pdf_reader=None) -> DataFrame:
-    """(path, text) of TXT, MD, HTML, DOCX and, with pdf_reader (bytes -> text), PDF files under path."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
+    """(path, text) of TXT, MD, HTML, DOCX and, with pdf_reader (bytes -> text), PDF files under path.
 
-    @F.udf("string")
-    def text(name, data):
-        kind = name.lower().rsplit(".", 1)[-1]
-        if kind == "docx":
-            return docx_text(bytes(data))
-        if kind == "pdf":
-            return pdf_reader(bytes(data)) if pdf_reader else None
-        return bytes(data).decode("utf-8", "replace")
+    Plain text and HTML are decoded by Spark; only DOCX and PDF files go through Python, an Arrow batch at a time.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content", F.regexp_extract(F.lower("path"), r"\.([a-z0-9]+)$", 1).alias("kind"))
+
+    @F.pandas_udf("string")
+    def parsed(kind, data):
+        import pandas as pd
+
+        readers = {"docx": docx_text, "pdf": pdf_reader}
+        return pd.Series([readers[k](bytes(x)) if readers.get(k) and x is not None else None for k, x in zip(kind, data)], dtype=object)
 
-    read = files.select("path", text("path", "content").alias("text"))
-    return read.withColumn("text", F.when(F.rlike(F.lower("path"), F.lit(r"\.html?$")), html_text(F.col("text"))).otherwise(F.col("text")))
+    binary = F.col("kind").isin("docx", "pdf")
+    packed = files.where(binary).select("path", parsed("kind", "content").alias("text"))
+    plain = files.where(~binary).select("path", "kind", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
+    shown = plain.select("path", F.when(F.col("kind").isin("html", "htm"), html_text(F.col("text"))).otherwise(F.col("text")).alias("text"))
+    return shown.unionByName(packed)
 
 
 def to_envelope(df: DataFrame, took: float = 0.0) -> DataFrame:
-    """One JSON row {result, status, time} for small results."""
+    """One JSON row {result, status, time}. For pages of results: the rows come together in one; write large ones as a table."""
     rows = df.agg(F.collect_list(F.struct(*df.columns)).alias("result"))
     return rows.select(F.to_json(F.struct("result", F.lit("ok").alias("status"), F.lit(took).alias("time"))).alias("response"))
