@@ -1,18 +1,24 @@
 """Quality rules as robust multivariate outliers; only DataFrame functions, no Python on the executors.
 
-Each text gives counts (words, word characters, symbols, repeated lines, words in repeated 3-word windows). Texts that
-fail the base rule (fewer than 50 words, or over half of them in repeated windows) go. The rest are judged within their
-language and source: a minimum covariance determinant estimate of four transformed statistics is found by C-steps
-(keep the half nearest to the centre, estimate again from it), each one a pair of map-side aggregates, and texts whose
-Mahalanobis distance lies beyond the 99.9% quantile of its chi-square distribution go.
+Each text gives counts (words, their characters and kinds, symbols, capitals, marks, repeated lines, words in repeated
+3-word windows). Texts that fail the base rule (fewer than 50 words, or over half of them in repeated windows) go. The
+rest are judged within their language and source by a minimum covariance determinant estimate of seven transformed
+statistics: texts whose Mahalanobis distance lies beyond the 99.99% quantile of its chi-square distribution go.
+
+The estimate: from several starts (medians and median deviations, and hashed quarters of the texts), C-steps keep the
+half nearest to the centre and estimate again from it. After two steps each group goes on with the start of the least
+determinant, until no group's determinant falls any more. Estimates are regularised: a share of `PRIOR / (n + PRIOR)`
+of a group's centre and covariance comes from the medians and median deviations of all texts, at every size of group
+alike, so that small groups have usable estimates and large ones their own. The half's covariance is scaled so that the
+median distance is that of a chi-square distribution.
 
 A statistic with the same value in at least half of a group's texts (in prose: symbols, repeated lines and windows,
 mostly zero) has no variance in the half. There the centre is that value and the deviation a fixed one, UNITS, without
-covariances; the others are fitted, and scaled to be consistent at the median distance.
+covariances. Shares of short texts are drawn to what is usual by pseudo-counts, as they vary more.
 
-The texts are read once; their counts, a few numbers a text, are written to the shared folder. Groups of under
-`min_group` texts share one estimate. The estimates (19 values a group) are broadcast when the groups' number is within
-a checked bound, else joined.
+The texts are read once; their counts, a few numbers a text, are written to the shared folder. Each C-step is a pair of
+map-side aggregates. The estimates (some 50 numbers a group) are broadcast when the groups' number is within a checked
+bound, else joined.
 
 Defined results: null texts have no words; null languages and sources count as empty strings; texts that fail the base
 rule take no part in the estimates; variances have floors of numerical size only; repeated rows
@@ -31,29 +37,34 @@ from pointsmith.session import cut
 
 from .exprs import let, total
 
-#: White space, and the characters that count as symbols.
+#: White space, the characters that count as symbols, capitals, and marks.
 WORD_GAP = r"[\x20\x09-\x0D]+"
 WHITE = " \t\n\x0b\x0c\r"
 SYMBOLS = r"[#*$%&|<>]"
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+MARKS = ".,;:!?"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 
 #: Transformed statistics, each with its deviation in groups where half of the texts or more have one value. Each is
-#: small enough to reject by itself at the cut-off of 4.3: symbols from 6.7%, repeated lines from 50%, words in
+#: small enough to reject by itself at the cut-off of 5.4: symbols from 6.7%, repeated lines from 50%, words in
 #: repeated windows from 42%.
-UNITS = {"length": 0.05, "symbols": 0.06, "lines": 0.165, "repeats": 0.15}
+UNITS = {"length": 0.05, "symbols": 0.048, "lines": 0.13, "repeats": 0.12, "upper": 0.05, "marks": 0.05, "types": 0.05}
+#: Pseudo-words that draw short texts' shares to what is usual, with their characters, capitals and marks.
+PSEUDO_WORDS, PSEUDO_CHARS, PSEUDO_UPPER, PSEUDO_MARKS = 100, 550, 20, 20
 #: Deviations up to here count as none, and pivots of the covariance are at least so large.
 TINY = 1e-6
-STEPS = 3
-#: Ten texts a statistic.
-MIN_GROUP = 40
+STARTS = 3
+STEPS = 20
+#: The least fall of a log determinant that counts.
+SETTLED = 1e-3
+#: Texts that the estimate of all texts counts for in each group's.
+PRIOR = 20
 #: Share of regular texts that the cut-off lets through.
-KEEP = 0.999
+KEEP = 0.9999
 MAX_GROUPS = 100_000
-#: Medians of chi-square distributions with 0 (unused) to 4 degrees of freedom.
-CHI_SQUARE_MEDIANS = (1.0, 0.454936, 1.386294, 2.365974, 3.356694)
 
 
-def _repeat_words(words: Column) -> Column:
+def _repeat_words(hashes: Column) -> Column:
     """Words in 3-word windows found twice or more, the first included."""
 
     def covered(at: Column) -> Column:
@@ -70,15 +81,16 @@ def _repeat_words(words: Column) -> Column:
         first = F.slice(h, F.lit(1), F.greatest(F.size(h) - 2, F.lit(0)))
         return F.sort_array(F.transform(first, lambda x, i: F.struct(F.xxhash64(x, F.get(h, i + 1), F.get(h, i + 2)).alias("g"), i.alias("p"))))
 
-    return let(F.transform(words, lambda w: F.xxhash64(w)), lambda h: let(windows(h), lambda s: let(F.sort_array(twice(s)), covered)))
+    return let(windows(hashes), lambda s: let(F.sort_array(twice(s)), covered))
 
 
 def text_counts(text: Column) -> Column:
-    """A struct of n_words, word_chars, n_symbols, n_lines, n_dup_lines and n_repeat_words."""
+    """Structs w (n_words, word_chars, n_repeat_words, n_types), l (n_lines, n_dup_lines), and s, u, p: symbols, A-Z and marks."""
     full = F.coalesce(text.cast("string"), F.lit(""))
 
     def counts(words: Column) -> Column:
-        return F.struct(F.size(words).cast("long").alias("n_words"), F.char_length(F.array_join(words, "")).cast("long").alias("word_chars"), _repeat_words(words).alias("n_repeat_words"))
+        hashed = let(F.transform(words, lambda w: F.xxhash64(w)), lambda h: F.struct(_repeat_words(h).alias("r"), F.size(F.array_distinct(h)).cast("long").alias("t")))
+        return F.struct(F.size(words).cast("long").alias("n_words"), F.char_length(F.array_join(words, "")).cast("long").alias("word_chars"), hashed.alias("h"))
 
     def lines(own: Column) -> Column:
         return F.struct(F.size(own).cast("long").alias("n_lines"), (F.size(own) - F.size(F.array_distinct(own))).cast("long").alias("n_dup_lines"))
@@ -86,59 +98,97 @@ def text_counts(text: Column) -> Column:
     of_words = let(F.filter(F.split(full, WORD_GAP), lambda w: w != ""), counts)
     of_lines = let(F.filter(F.split(full, "\n"), lambda x: F.trim(x, F.lit(WHITE)) != ""), lines)
     symbols = (F.char_length(full) - F.char_length(F.regexp_replace(full, SYMBOLS + "+", ""))).cast("long")
-    return F.struct(of_words.alias("w"), of_lines.alias("l"), symbols.alias("s"))
+    upper, marks = ((F.char_length(full) - F.char_length(F.translate(full, c, ""))).cast("long") for c in (UPPER, MARKS))
+    return F.struct(of_words.alias("w"), of_lines.alias("l"), symbols.alias("s"), upper.alias("u"), marks.alias("p"))
 
 
-def chi_square_4(p: float) -> float:
-    """The quantile of a chi-square distribution with four degrees of freedom."""
-    lo, hi = 0.0, 400.0
+def chi_square(p: float, k: int) -> float:
+    """The quantile of a chi-square distribution with k degrees of freedom; 1 for none."""
+    if not k:
+        return 1.0
+
+    def below(x: float) -> float:  # the regularised lower incomplete gamma function, by its series
+        term = total_ = 1 / (k / 2)
+        n = k / 2
+        while term > total_ * 1e-15:
+            n += 1
+            term *= x / 2 / n
+            total_ += term
+        return total_ * math.exp(-x / 2 + k / 2 * math.log(x / 2) - math.lgamma(k / 2))
+
+    lo, hi = 1e-12, 400.0
     for _ in range(200):
         mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if math.exp(-mid / 2) * (1 + mid / 2) > 1 - p else (lo, mid)
+        lo, hi = (mid, hi) if below(mid) < p else (lo, mid)
     return lo
 
 
 def _statistics() -> dict[str, Column]:
-    n = F.greatest(F.col("n_words"), F.lit(1))
+    n, chars = F.col("n_words"), F.greatest(F.col("word_chars"), F.lit(1))
+    more, wide = n + PSEUDO_WORDS, F.col("word_chars") + PSEUDO_CHARS
     return {
-        "length": F.log(F.greatest(F.col("word_chars"), F.lit(1)) / n),
-        "symbols": F.sqrt(F.col("n_symbols") / F.greatest(F.col("word_chars"), F.lit(1))),
+        "length": F.log(wide / more),
+        "symbols": F.sqrt(F.col("n_symbols") / chars),
         "lines": F.sqrt(F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1))),
-        "repeats": F.sqrt(F.col("n_repeat_words") / n),
+        "repeats": F.sqrt(F.col("n_repeat_words") / F.greatest(n, F.lit(1))),
+        "upper": F.sqrt((F.col("n_upper") + PSEUDO_UPPER) / wide),
+        "marks": F.sqrt((F.col("n_marks") + PSEUDO_MARKS) / wide),
+        "types": F.log((F.col("n_types") + PSEUDO_WORDS) / more) / F.log(more),
     }
 
 
 _NAMES = list(UNITS)
-_PAIRS = [(i, j) for i in range(len(_NAMES)) for j in range(i + 1)]
+_N = len(_NAMES)
+_PAIRS = [(i, j) for i in range(_N) for j in range(i + 1)]
 _GROUP = ["g_lang", "g_source"]
-
-
-_FIXED = [f"f{i}" for i in range(len(_NAMES))]
-
-
-def _estimate(rows: DataFrame) -> DataFrame:
-    """Centre and covariance of each group's rows: f0.. (no variance), m0.., c00, c10, c11, .."""
-    x = [F.col(n) for n in _NAMES]
-    centres = [F.when(F.first(f"f{i}"), F.first(f"m{i}")).otherwise(F.avg(c)).alias(f"m{i}") for i, c in enumerate(x)]
-    sums = rows.groupBy(*_GROUP).agg(*(F.first(f).alias(f) for f in _FIXED), *centres, *(F.covar_pop(x[i], x[j]).alias(f"c{i}{j}") for i, j in _PAIRS))
-
-    def entry(i: int, j: int) -> Column:
-        return F.when(F.col(f"f{i}") | F.col(f"f{j}"), F.lit(UNITS[_NAMES[i]] ** 2 if i == j else 0.0)).otherwise(F.col(f"c{i}{j}")).alias(f"c{i}{j}")
-
-    return sums.select(*_GROUP, *_FIXED, *(f"m{i}" for i in range(len(x))), *(entry(i, j) for i, j in _PAIRS))
+_KEY = [*_GROUP, "start"]
+_FIXED = [f"f{i}" for i in range(_N)]
+_MIDDLE = [f"m{i}" for i in range(_N)]
+_FACTOR = [f"l{i}{j}" for i, j in _PAIRS]
 
 
 def _with_factor(estimate: DataFrame) -> DataFrame:
-    """The estimate with its covariance's Cholesky factor, l00, l10, l11, .."""
+    """The estimate with its covariance's Cholesky factor, l00, l10, l11, .., and the log of the determinant."""
     out = estimate
-    for i in range(len(_NAMES)):
+    for i in range(_N):
         for j in range(i + 1):
             rest = F.col(f"c{i}{j}")
             for k in range(j):
                 rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
             # A floor under the pivots keeps the factor real where statistics depend on each other.
             out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(TINY**2))) if i == j else rest / F.col(f"l{j}{j}"))
-    return out.select(*_GROUP, *_FIXED, *(f"m{i}" for i in range(len(_NAMES))), *(f"l{i}{j}" for i, j in _PAIRS))
+    logdet = sum((2 * F.log(F.col(f"l{i}{i}")) for i in range(_N)), F.lit(0.0))
+    return out.select(*_KEY, "n", *_FIXED, *_MIDDLE, *_FACTOR, logdet.alias("logdet"))
+
+
+class Pool:
+    """Medians and median deviations of all texts: what estimates are drawn to."""
+
+    def __init__(self, rows: DataFrame):
+        m = rows.agg(*(F.percentile_approx(n, 0.5, 1000).alias(n) for n in _NAMES)).first()
+        self.middle = [m[n] or 0.0 for n in _NAMES]
+        s = rows.agg(*((F.percentile_approx(F.abs(F.col(n) - F.lit(c)), 0.5, 1000) * 1.4826).alias(n) for n, c in zip(_NAMES, self.middle))).first()
+        self.unit = [s[n] if (s[n] or 0.0) > TINY else UNITS[n] for n in _NAMES]
+
+    def drawn(self, sums: DataFrame) -> DataFrame:
+        """(key, n, fixed, m, c) of a group's own estimate -> the regularised one."""
+        share = F.col("n") / (F.col("n") + PRIOR)
+        middle = [(F.when(F.col(f"f{i}"), F.col(f"m{i}")).otherwise(share * F.col(f"m{i}") + (1 - share) * self.middle[i])).alias(f"m{i}") for i in range(_N)]
+
+        def entry(i: int, j: int) -> Column:
+            prior = self.unit[i] ** 2 if i == j else 0.0
+            own = share * F.coalesce(f"c{i}{j}", F.lit(0.0)) + (1 - share) * prior
+            return F.when(F.col(f"f{i}") | F.col(f"f{j}"), F.lit(UNITS[_NAMES[i]] ** 2 if i == j else 0.0)).otherwise(own).alias(f"c{i}{j}")
+
+        return _with_factor(sums.select(*_KEY, "n", *_FIXED, *middle, *(entry(i, j) for i, j in _PAIRS)))
+
+
+def _estimate(rows: DataFrame, pool: Pool) -> DataFrame:
+    """The regularised estimate of each key's rows; rows carry n and the fixed statistics' flags and centres."""
+    x = [F.col(n) for n in _NAMES]
+    centres = [F.when(F.first(f"f{i}"), F.first(f"m{i}")).otherwise(F.avg(c)).alias(f"m{i}") for i, c in enumerate(x)]
+    sums = rows.groupBy(*_KEY).agg(F.first("n").alias("n"), *(F.first(f).alias(f) for f in _FIXED), *centres, *(F.covar_pop(x[i], x[j]).alias(f"c{i}{j}") for i, j in _PAIRS))
+    return pool.drawn(sums)
 
 
 def _squares() -> list[Column]:
@@ -152,53 +202,68 @@ def _squares() -> list[Column]:
     return [c * c for c in z]
 
 
-def _distance(scale: Column | None = None) -> Column:
+def _square(scale: Column | None = None) -> Column:
     """The squared distance; a scale divides the fitted statistics' parts only."""
     parts = _squares()
-    return sum(parts[1:], parts[0]) if scale is None else sum((F.when(F.col(f), p).otherwise(p / scale) for f, p in zip(_FIXED, parts)), F.lit(0.0))
+    if scale is None:
+        return sum(parts[1:], parts[0])
+    return sum((F.when(F.col(f), p).otherwise(p / scale) for f, p in zip(_FIXED, parts)), F.lit(0.0))
+
 
+def _join(rows: DataFrame, groups: DataFrame, small: bool, on: list[str], how: str = "inner") -> DataFrame:
+    return rows.join(F.broadcast(groups) if small else groups, on, how)
 
-def _join(rows: DataFrame, groups: DataFrame, small: bool, how: str = "inner") -> DataFrame:
-    return rows.join(F.broadcast(groups) if small else groups, _GROUP, how)
+
+def _starts(rows: DataFrame, pool: Pool, small: bool) -> DataFrame:
+    """Estimates to start from: 0 from medians and median deviations, the others from hashed quarters of the texts."""
+    middle = rows.groupBy(*_GROUP).agg(F.count(F.lit(1)).alias("n"), *(F.percentile_approx(n, 0.5, 1000).alias(f"m{i}") for i, n in enumerate(_NAMES)))
+    spread = _join(rows, middle, small, _GROUP).groupBy(*_GROUP).agg(F.first("n").alias("n"), *(F.first(m).alias(m) for m in _MIDDLE), *((F.percentile_approx(F.abs(F.col(x) - F.col(f"m{i}")), 0.5, 1000) * 1.4826).alias(f"s{i}") for i, x in enumerate(_NAMES)))
+    flagged = cut(rows.sparkSession, spread.select(*_GROUP, "n", *_MIDDLE, *(f"s{i}" for i in range(_N)), *((F.col(f"s{i}") <= TINY).alias(f"f{i}") for i in range(_N))))
+    first = pool.drawn(flagged.select(*_GROUP, F.lit(0).alias("start"), "n", *_FIXED, *_MIDDLE, *((F.col(f"s{i}") ** 2 if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i, j in _PAIRS)))
+    part = F.pmod(F.xxhash64(*_NAMES), F.lit(4)).cast("int")
+    quarters = _join(rows, flagged.select(*_GROUP, "n", *_FIXED, *_MIDDLE), small, _GROUP).withColumn("start", part + 1).where(F.col("start") < STARTS)
+    return first.union(_estimate(quarters, pool))
 
 
 def mcd(rows: DataFrame, steps: int = STEPS) -> DataFrame:
-    """rows (with the statistics and group columns) -> one estimate a group: centre, Cholesky factor, scale."""
+    """rows (with the statistics and group columns) -> one estimate a group: n, centre, Cholesky factor, logdet, scale."""
     spark = rows.sparkSession
     small = rows.select(*_GROUP).distinct().count() <= MAX_GROUPS
-    # Start: the rows nearest the coordinate-wise medians, in units of their median deviations.
-    middle = rows.groupBy(*_GROUP).agg(*(F.percentile_approx(n, 0.5, 1000).alias(f"m{i}") for i, n in enumerate(_NAMES)))
-    near = _join(rows, middle, small)
-    spread = near.groupBy(*_GROUP).agg(*(F.first(f"m{i}").alias(f"m{i}") for i in range(len(_NAMES))), *((F.percentile_approx(F.abs(F.col(n) - F.col(f"m{i}")), 0.5, 1000) * 1.4826).alias(f"s{i}") for i, n in enumerate(_NAMES)))
-    fixed = [F.col(f"s{i}") <= TINY for i in range(len(_NAMES))]
-    units = [F.when(f, F.lit(UNITS[n])).otherwise(F.col(f"s{i}")) for i, (f, n) in enumerate(zip(fixed, _NAMES))]
-    zero = F.lit(0.0)
-    factor = cut(spark, spread.select(*_GROUP, *(f.alias(n) for f, n in zip(fixed, _FIXED)), *(f"m{i}" for i in range(len(_NAMES))), *((units[i] if i == j else zero).alias(f"l{i}{j}") for i, j in _PAIRS)))
-    for _ in range(steps):
-        far = _join(rows, factor, small).withColumn("d", _distance())
-        half = cut(spark, far.groupBy(*_GROUP).agg(F.percentile_approx("d", 0.5, 1000).alias("h")))
-        factor = cut(spark, _with_factor(_estimate(_join(far.select(*_GROUP, *_NAMES, *_FIXED, *(f"m{i}" for i in range(len(_NAMES))), "d"), half, small).where(F.col("d") <= F.col("h")))))
+    pool = Pool(rows)
+    now = cut(spark, _starts(rows, pool, small))
+    for step in range(steps):
+        on = _GROUP
+        far = _join(rows, now, small, on).withColumn("d", _square()).select(*_KEY, "n", *_NAMES, *_FIXED, *_MIDDLE, "d", "logdet")
+        half = cut(spark, far.groupBy(*_KEY).agg(F.percentile_approx("d", 0.5, 1000).alias("h"), F.first("logdet").alias("before")))
+        nearest = _join(far, half.drop("before"), small, _KEY).where(F.col("d") <= F.col("h"))
+        new = cut(spark, _estimate(nearest, pool))
+        if step == 1:  # each group goes on with the start of its least determinant
+            best = new.groupBy(*_GROUP).agg(F.min_by("start", F.struct("logdet", "start")).alias("start"))
+            new = cut(spark, new.join(F.broadcast(best) if small else best, _KEY, "left_semi"))
+        fallen = new.join(half, _KEY).agg(F.max(F.col("before") - F.col("logdet")).alias("by")).first()["by"]
+        now = new
+        if step > 1 and (fallen is None or fallen < SETTLED):
+            break
     # The half's covariance is too small; the median distance of the fitted statistics says by how much.
+    zero = F.lit(0.0)
     fitted = sum((F.when(F.col(f), zero).otherwise(p) for f, p in zip(_FIXED, _squares())), zero)
     n_fitted = sum((F.when(F.col(f), 0).otherwise(1) for f in _FIXED), F.lit(0))
-    median = F.get(F.array(*(F.lit(c) for c in CHI_SQUARE_MEDIANS)), F.first(n_fitted))
-    far = _join(rows, factor, small).withColumn("d", fitted)
-    scale = far.groupBy(*_GROUP).agg(F.greatest(F.percentile_approx("d", 0.5, 1000) / median, F.lit(TINY)).alias("scale"))
-    return cut(spark, _join(factor, scale, small))
+    median = F.get(F.array(*(F.lit(chi_square(0.5, k)) for k in range(_N + 1))), F.first(n_fitted))
+    scale = _join(rows, now, small, _GROUP).withColumn("d", fitted).groupBy(*_GROUP).agg((F.percentile_approx("d", 0.5, 1000) / median).alias("s"), F.first("n").alias("k"))
+    # Drawn to one as the covariance is drawn to that of all texts.
+    scale = scale.select(*_GROUP, F.greatest((F.col("s") * F.col("k") + PRIOR) / (F.col("k") + PRIOR), F.lit(TINY)).alias("scale"))
+    return cut(spark, _join(now.drop("start"), scale, small, _GROUP))
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", min_group: int = MIN_GROUP, keep: float = KEEP) -> DataFrame:
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", keep: float = KEEP) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance) of every text."""
     spark = docs.sparkSession
-    read = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("")).alias("lang"), F.coalesce(F.col(f"`{source_col}`").cast("string"), F.lit("")).alias("source"), text_counts(F.col(f"`{text_col}`")).alias("c"))
-    counts = cut(spark, read.select("doc_id", "lang", "source", "c.w.n_words", "c.w.word_chars", F.col("c.s").alias("n_symbols"), "c.l.n_lines", "c.l.n_dup_lines", F.coalesce("c.w.n_repeat_words", F.lit(0)).cast("long").alias("n_repeat_words")))
+    read = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("")).alias("g_lang"), F.coalesce(F.col(f"`{source_col}`").cast("string"), F.lit("")).alias("g_source"), text_counts(F.col(f"`{text_col}`")).alias("c"))
+    counts = cut(spark, read.select("doc_id", *_GROUP, "c.w.n_words", "c.w.word_chars", F.col("c.s").alias("n_symbols"), F.col("c.u").alias("n_upper"), F.col("c.p").alias("n_marks"), F.coalesce("c.w.h.t", F.lit(0)).alias("n_types"), "c.l.n_lines", "c.l.n_dup_lines", F.coalesce("c.w.h.r", F.lit(0)).cast("long").alias("n_repeat_words")))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    sizes = counts.where(~failed).groupBy("lang", "source").agg(F.count(F.lit(1)).alias("size"))
-    small = sizes.count() <= MAX_GROUPS
-    sized = counts.join(F.broadcast(sizes) if small else sizes, ["lang", "source"], "left")
-    own = F.coalesce(F.col("size"), F.lit(0)) >= min_group
-    marked = sized.withColumns({"base_failed": failed, "g_lang": F.when(own, F.col("lang")).otherwise(""), "g_source": F.when(own, F.col("source")).otherwise(""), **_statistics()})
+    marked = counts.withColumns({"base_failed": failed, **_statistics()})
     estimates = mcd(marked.where(~F.col("base_failed")).select(*_GROUP, *_NAMES))
-    judged = _join(marked, estimates, small, "left").withColumn("distance", F.sqrt(_distance(F.col("scale"))))
-    inside = F.coalesce(F.col("distance") <= math.sqrt(chi_square_4(keep)), F.lit(True))
+    small = estimates.count() <= MAX_GROUPS
+    judged = _join(marked, estimates, small, _GROUP, "left").withColumn("distance", F.sqrt(_square(F.col("scale"))))
+    inside = F.coalesce(F.col("distance") <= math.sqrt(chi_square(keep, _N)), F.lit(True))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & inside).alias("kept"), "distance")
