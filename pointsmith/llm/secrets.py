@@ -1,14 +1,17 @@
 """Secret scans: base patterns, and an assignment-aware lexer over source and configuration syntax.
 
-The lexer reads `name = literal`, `name: literal`, `"name": "literal"`, `name => literal`, `name := literal` and
-`export NAME=literal` into (name, literal) pairs. Names are split into words at case changes, underscores, dots and
-dashes. Constants are propagated: `a = "x"` followed by `password = a` gives the literal x the name password, through
-chains of names and through `"x" + "y"`. A literal is a secret when one of its names is a sensitive target and it
-looks random enough for how telling that name is. The literals found are added to the base spans as kind `literal`.
+The lexer reads `name = value`, `name: value`, `"name": "value"`, `name => value`, `name := value`, `<name>value</name>`
+and `export NAME=value` into (name, literal) pairs. Values are strings in quotes, with escapes, over several lines in
+triple quotes or backticks; YAML blocks after `|` or `>`; strings joined by `+` or side by side; and bare words of any
+characters up to white space, brackets or commas. Names are split into words at case changes, underscores, dots and
+dashes. Constants are propagated in either direction: `a = "x"` gives the literal x the name password if `password = a`
+(or `$a`, `${a}`) stands anywhere in the text, through chains of names. A literal is a secret when one of its names is a
+sensitive target and it looks random enough for how telling that name is; quoted literals with blanks count as phrases
+by their words. The literals found are added to the base spans as kind `literal`.
 
 Defined results: null and empty texts have no spans; base spans stay as they are; a literal within a base span is not
-given again; repeated rows each get their own result; other columns are not looked at. Texts are scanned whole, in
-time proportional to their length.
+given again; repeated rows each get their own result; other columns are not looked at. Texts are scanned whole, and
+names and literals of any length count, in time proportional to the text's length.
 """
 
 from __future__ import annotations
@@ -16,7 +19,9 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,9 +39,14 @@ KINDS = ("assign", "access", "hex", "literal")
 SENSITIVE = {"password": 1.0, "passwd": 1.0, "pwd": 1.0, "passphrase": 1.0, "secret": 0.9, "token": 0.8, "apikey": 0.9, "credential": 0.9, "credentials": 0.9, "privatekey": 1.0, "accesskey": 0.9, "auth": 0.6, "bearer": 0.8, "signature": 0.5, "salt": 0.5, "key": 0.4}
 _JOINED = ("apikey", "privatekey", "accesskey")
 
-_NAME = r"[A-Za-z_][A-Za-z0-9_.\-]{0,99}"
-_PAIR = re.compile(rf"""(?<![A-Za-z0-9_.\-])["']?({_NAME})["']?[ \t]*(?::=|=>|[:=])[ \t]*(?:"([^"\n]*)"|'([^'\n]*)'|([A-Za-z0-9+/_.=\-]+))""", re.A)
-_MORE = re.compile(r"""[ \t]*\+[ \t]*(?:"([^"\n]*)"|'([^'\n]*)')""")
+_HEAD = re.compile(r"""(?<![A-Za-z0-9_.\-$])["']?([A-Za-z_][A-Za-z0-9_.\-]*+)["']?[ \t]*+(:=|=>|=(?![=~])|:(?![:/]))[ \t]*+""", re.A)
+_XML = re.compile(r"<([A-Za-z_][A-Za-z0-9_.:\-]*+)(?:\s[^<>]*+)?>([^<>]++)</", re.A)
+_TRIPLE = re.compile(r'"""((?:[^"\\]|\\.|"(?!""))*+)"""|\'\'\'((?:[^\'\\]|\\.|\'(?!\'\'))*+)\'\'\'', re.S)
+_STRING = re.compile(r'"((?:[^"\\\n]|\\.)*+)"|\'((?:[^\'\\\n]|\\.)*+)\'|`([^`]*+)`', re.S)
+_JOINT = re.compile(r"[ \t]*+(?:\+|\\)?[ \t]*+(?:\\?\n[ \t]*+(?=[+\"']))?(?:\+[ \t]*+)?")
+_BLOCK = re.compile(r"[|>][+-]?[0-9]?[ \t]*+\n")
+_BARE = re.compile(r"[^\s,;(){}\[\]<>\"'`]++")
+_TAIL = ".,;:!?"
 _SPLIT = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
 
@@ -55,50 +65,117 @@ def name_score(name: str) -> float:
     return max([SENSITIVE.get(p, 0.0) for p in parts] + [SENSITIVE[j] for j in _JOINED if j in joined], default=0.0)
 
 
-def literal_score(value: str) -> float:
-    """How random a literal looks, 0 to 1: bits in it against 64, lowered if it has one class of characters only."""
+def literal_score(value: str, quoted: bool = True) -> float:
+    """How random a literal looks, 0 to 1: bits in it against 64, lowered if it has one class of characters only.
+
+    A quoted literal with blanks is a phrase: 12 bits a different word of three letters or more, so four make up a half;
+    a bare one is none.
+    """
     n = len(value)
-    if n < 8 or " " in value:
+    if n < 8:
         return 0.0
+    if re.search(r"\s", value.strip()):
+        words = {w for w in value.split() if len(w) >= 3}
+        if "\n" in value and len(words) > 1 and max(map(len, words)) >= 40:  # lines of one long key
+            return literal_score("".join(value.split()))
+        return min(0.75, 12 * len(words) / 64) if quoted and 3 <= len(words) <= 12 else 0.0
     bits = -sum(c * math.log2(c / n) for c in Counter(value).values())
     classes = sum(bool(re.search(p, value)) for p in ("[a-z]", "[A-Z]", "[0-9]", r"[^A-Za-z0-9]"))
     return min(1.0, bits / 64) * (0.4 if classes < 2 else 1.0)
 
 
-def literals(text: str) -> list[tuple[str, str, int, int]]:
-    """(name, value, start, end) of each assignment of a literal, constants propagated to the names that take them."""
-    if "=" not in text and ":" not in text:
+def _block(text: str, key_at: int, at: int) -> tuple[int, int]:
+    """The lines from `at` on that are indented deeper than the line of the key: where their content begins and ends."""
+    line = text.rfind("\n", 0, key_at) + 1
+    indent = len(text[line:key_at]) - len(text[line:key_at].lstrip(" "))
+    first = end = at
+    while at < len(text):
+        stop = text.find("\n", at)
+        stop = len(text) if stop < 0 else stop
+        own = text[at:stop]
+        if own.strip():
+            if len(own) - len(own.lstrip(" ")) <= indent:
+                break
+            if end == first:
+                first = at + len(own) - len(own.lstrip(" "))
+            end = stop
+        at = stop + 1
+    return first, end
+
+
+def _value(text: str, key_at: int, op: str, at: int) -> tuple[list[tuple[int, int, bool]], str | None, int]:
+    """The literal's parts (start, end, quoted), the name it refers to, and where the value ends."""
+    if op == ":" and (m := _BLOCK.match(text, at)):
+        start, end = _block(text, key_at, m.end())
+        return ([(start, end, True)] if end > start else []), None, end
+    parts: list[tuple[int, int, bool]] = []
+    while m := _TRIPLE.match(text, at) or _STRING.match(text, at):
+        parts.append((*m.span(m.lastindex), True))
+        at = _JOINT.match(text, m.end()).end()
+    if parts:
+        return parts, None, m.end() if m else parts[-1][1] + 1
+    if m := _BARE.match(text, at):
+        end = m.end() - (len(m[0]) - len(m[0].rstrip(_TAIL)))
+        word = text[at:end]
+        if re.fullmatch(r"\$\{?[A-Za-z_][A-Za-z0-9_.\-]*\}?", word) or word == "$":
+            inner = re.compile(r"\$\{?([A-Za-z_][A-Za-z0-9_.\-]*+)").match(text, at)
+            return [], inner[1] if inner else None, m.end()
+        if text[m.end() : m.end() + 1] == "(":  # a call
+            return [], None, m.end()
+        return [(at, end, False)], word, m.end()
+    return [], None, at + 1
+
+
+def literals(text: str) -> list[tuple[str, str, int, int, bool]]:
+    """(name, value, start, end, quoted) of each assigned literal: for its own name, and for the most telling name that
+    takes it, through chains of names, if that is another."""
+    if "=" not in text and ":" not in text and "</" not in text:
         return []
-    values: dict[str, list[tuple[str, int, int]]] = {}
+    own: dict[str, list[tuple[str, list[tuple[int, int, bool]]]]] = {}
+    refs: dict[str, set[str]] = {}
+    at = 0
+    while m := _HEAD.search(text, at):
+        parts, ref, end = _value(text, m.start(1), m[2], m.end())
+        if ref is not None and ref != m[1]:
+            refs.setdefault(m[1], set()).add(ref)
+        if parts := [p for p in parts if p[1] > p[0]]:
+            own.setdefault(m[1], []).append(("".join(text[s:e] for s, e, _ in parts), parts))
+        at = max(end, m.end())
+    if "</" in text:
+        for m in _XML.finditer(text):
+            own.setdefault(m[1], []).append((m[2], [(m.start(2), m.end(2), True)]))
+    # Down from the most telling names, each name once: the first that comes by is the best that takes it.
+    best: dict[str, str] = {}
+    for name in sorted({*own, *refs}, key=lambda n: (-name_score(n), n)):
+        if not name_score(name):
+            break
+        open_ = [name]
+        while open_:
+            n = open_.pop()
+            if n not in best:
+                best[n] = name
+                open_ += refs.get(n, ())
     out = []
-    for m in _PAIR.finditer(text):
-        name = m[1]
-        group = 2 if m[2] is not None else 3 if m[3] is not None else 4
-        if group == 4 and (known := values.get(m[4])) is not None:
-            values[name] = known
-            out += [(name, *x) for x in known]
-            continue
-        parts = [(m[group], m.start(group), m.end(group))]
-        if group != 4:
-            at = m.end()
-            while more := _MORE.match(text, at):
-                g = 1 if more[1] is not None else 2
-                parts.append((more[g], more.start(g), more.end(g)))
-                at = more.end()
-        value = "".join(p[0] for p in parts)
-        own = [(value, p[1], p[2]) for p in parts if p[0]]
-        values[name] = own
-        out += [(name, *x) for x in own]
+    for name, values in own.items():
+        for value, parts in values:
+            # A bare word that is itself a name with values stands for those, not for itself.
+            if len(parts) == 1 and not parts[0][2] and value in own:
+                continue
+            out += [(n, value, s, e, q) for n in dict.fromkeys((name, best.get(name, name))) for s, e, q in parts]
     return out
 
 
 def secret_spans(text: str, threshold: float = 0.45) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """The base spans, and all spans."""
     base = base_spans(text)
+    starts = [a for a, _, _ in base]
+    most = list(accumulate((b for _, _, b in base), max))
     found = set()
-    for name, value, start, end in literals(text):
-        if (s := name_score(name)) and s * literal_score(value) >= threshold * min(1.0, s + 0.2) and not any(a <= start and end <= b for a, _, b in base):
-            found.add((start, 3, end))
+    for name, value, start, end, quoted in literals(text):
+        if (s := name_score(name)) and s * literal_score(value, quoted) >= threshold * min(1.0, s + 0.2):
+            i = bisect_right(starts, start)
+            if not (i and most[i - 1] >= end):  # not within a base span
+                found.add((start, 3, end))
     return base, sorted([*base, *found])
 
 
