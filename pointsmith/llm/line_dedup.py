@@ -27,6 +27,8 @@ MIN_CHARS = 20
 MIN_DOCS = 3
 #: White space that is stripped, and the letters that are lower-cased.
 WHITE = " \t\n\x0b\x0c\r"
+#: Groups of tasks that merge their sketches of frequent keys.
+MERGERS = 64
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -49,16 +51,23 @@ def line_rows(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> Da
 
 
 def _heavy(rows: DataFrame, parts: int, min_docs: int) -> DataFrame | None:
-    """Keys that hold over 1/(4 parts) of all rows: (h1, h2, survivor, enough), or None if there are none."""
-    top = rows.agg(F.count(F.lit(1)).alias("n"), F.expr(f"approx_top_k(h1, {min(4 * parts, 1000)}, {min(64 * parts, 100000)})").alias("top")).first()
-    often = [x["item"] for x in top["top"] or [] if x["count"] * 4 * parts > top["n"] and x["count"] > 1000]
-    if not often:
-        return None
+    """Keys that hold over 1/(4 parts) of all rows: (h1, h2, survivor, enough), or None if there are none.
+
+    The sketches of MERGERS groups of tasks are merged within each group, then their items are summed, so no task
+    reads all sketches. Each tracks 64 items a partition, so it counts to within a fraction of the threshold.
+    """
     spark = rows.sparkSession
-    chosen = spark.createDataFrame([(x,) for x in often], "h1 long")
+    most = min(4 * parts, 250_000)
+    some = rows.groupBy(F.pmod(F.spark_partition_id(), F.lit(MERGERS)).alias("m")).agg(F.count(F.lit(1)).alias("n"), F.expr(f"approx_top_k(h1, {most}, {min(64 * parts, 1_000_000)})").alias("top"))
+    some = cut(spark, some)
+    total = some.agg(F.sum("n").alias("n")).first()["n"] or 0
+    chosen = some.select(F.inline("top")).groupBy("item").agg(F.sum("count").alias("n")).where((F.col("n") * 4 * parts > total) & (F.col("n") > 1000)).select(F.col("item").alias("h1"))
+    chosen = cut(spark, chosen)
+    if chosen.isEmpty():
+        return None
     # Partial sums leave the map side: one row for each key and document there, then one for each key.
     each = rows.join(F.broadcast(chosen), "h1", "left_semi").select("h1", "h2", "id").distinct()
-    return each.groupBy("h1", "h2").agg(F.max("id").alias("survivor"), (F.count(F.lit(1)) >= min_docs).alias("enough"))
+    return cut(spark, each.groupBy("h1", "h2").agg(F.max("id").alias("survivor"), (F.count(F.lit(1)) >= min_docs).alias("enough")))
 
 
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
