@@ -4,7 +4,7 @@ A block of texts is split into pre-tokens by the pattern; the distinct ones that
 known to the worker form a small corpus. An inverted index maps the token that a pair would make to the positions of
 that pair; the merges are applied to the whole corpus in rank order, each updating only the neighbours it touches. If
 a merge makes a pair of a lower rank than its own, that one comes first, so each word gets the ids that merging it
-alone, lowest rank and leftmost first, would give. What a worker knows is bounded by entries and letters.
+alone, lowest rank and leftmost first, would give. What a worker knows is bounded in bytes.
 
 The vocabulary's path is a parameter and read on the worker. No shuffle; every text is encoded whole.
 
@@ -23,11 +23,12 @@ import regex
 from pyspark.sql import DataFrame
 
 from . import textblocks as tb
-from .common import id_text, map_arrow, tokenizer_path, worker_cache
+from .common import id_text, map_arrow, tokenizer_path, worker_state
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-CACHE_WORDS = 400_000
-CACHE_BYTES = 256  # longer pre-tokens are not kept
+#: What a worker keeps of what it has encoded, in bytes as estimated by _weight; longer pre-tokens are not kept.
+CACHE_BYTES = 72 << 20
+CACHE_WORD_LETTERS = 256
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -48,7 +49,7 @@ class Replay:
         """The token that a and b make, or -1."""
         pairs = self.pairs
         if (r := pairs.get((a, b))) is None:
-            if len(pairs) > 1_000_000:
+            if len(pairs) > 200_000:
                 pairs.clear()
             r = pairs[a, b] = self.ranks.get(self.bytes_of[a] + self.bytes_of[b], -1)
         return r
@@ -125,6 +126,7 @@ class Encoder:
         self.replay = Replay(load_ranks(path))
         self.find = regex.compile(pattern).findall
         self.known: dict[str, tuple[str, tuple[int, ...], bytes]] = {}
+        self.weight = 0
 
     def _entry(self, ids: list[int]) -> tuple[str, tuple[int, ...], bytes]:
         return ",".join(map(str, ids)), tuple(ids), b"".join(map(self.replay.bytes_of.__getitem__, ids))
@@ -132,13 +134,17 @@ class Encoder:
     def block(self, texts: list[str]) -> list[list[tuple[str, tuple[int, ...], bytes]]]:
         """The entries of each text's pre-tokens."""
         found = [self.find(t) for t in texts]
-        if len(self.known) > CACHE_WORDS:
-            self.known = {}
+        if self.weight > CACHE_BYTES:
+            self.known, self.weight = {}, 0
         known = self.known
         new = list({w for words in found for w in words if w not in known})
         long = {}
         for w, ids in zip(new, self.replay.encode([w.encode() for w in new])):
-            (known if len(w) <= CACHE_BYTES else long)[w] = self._entry(ids)
+            if len(w) <= CACHE_WORD_LETTERS:
+                known[w] = self._entry(ids)
+                self.weight += 360 + 3 * len(w) + 16 * len(ids)
+            else:
+                long[w] = self._entry(ids)
         if not long:
             return [[known[w] for w in words] for words in found]
         return [[known[w] if w in known else long[w] for w in words] for words in found]
@@ -150,7 +156,7 @@ def _encoder(vocabulary: str, pattern: str | None) -> Encoder:
 
         return Encoder(vocabulary if "/" in vocabulary else tokenizer_path(vocabulary), pattern or public_tokenizers.PATTERN)
 
-    return worker_cache(("bpe", vocabulary, pattern), build)
+    return worker_state(("bpe", vocabulary, pattern), build)
 
 
 def _run(vocabulary: str, pattern: str | None, row, schema: pa.Schema):

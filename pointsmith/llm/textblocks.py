@@ -85,30 +85,63 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+STEP = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
 
 
-_known: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Bytes hashed at a time; powers up to here are kept.
+CHUNK_BYTES = 1 << 18
 
 
-def _powers_for(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, up to n at least; kept, and grown when a larger block comes."""
-    if len(_known[0]) < n:
-        size = 1 << max(16, int(n - 1).bit_length())
-        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            p = np.full(size, base, np.uint64)
-            p[0] = 1
-            _known[k] = np.multiply.accumulate(p, out=p)
-    return _known[0], _known[1]
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, n of each."""
+    out = []
+    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+        p = np.full(n, base, np.uint64)
+        p[0] = 1
+        out.append(np.multiply.accumulate(p, out=p))
+    return out[0], out[1]
+
+
+_KEPT_POWERS = _powers(CHUNK_BYTES + 1)
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span's bytes, alike wherever the bytes stand."""
-    up, down = _powers_for(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTES[data] * up[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    """A 64-bit hash of each span's bytes, alike wherever the bytes stand; spans in order, a chunk of the bytes at a time.
+
+    A span longer than a chunk makes a chunk of its own, so extra memory is that of the longest word, not of the text.
+    """
+    out = np.empty(len(starts), np.uint64)
+    lo = 0
+    while lo < len(starts):
+        first = int(starts[lo])
+        hi = max(lo + 1, int(np.searchsorted(ends, first + CHUNK_BYTES, side="right")))
+        n = int(ends[hi - 1]) - first
+        up, down = _KEPT_POWERS if n <= CHUNK_BYTES else _powers(n + 1)
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(_BYTES[data[first : first + n]] * up[:n], out=sums[1:])
+        s, e = starts[lo:hi] - first, ends[lo:hi] - first
+        out[lo:hi] = mix((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64))
+        lo = hi
+    return out
+
+
+#: Different constants to keep kinds of hashed terms apart.
+SALTS = mix(np.arange(16, dtype=np.uint64) * STEP)
+
+
+def occurrences(hashes: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """How often each value has come before within its row."""
+    key = mix(hashes + rows.astype(np.uint64) * STEP)
+    order = np.argsort(key, kind="stable")
+    ordered = key[order]
+    new = np.ones(len(key), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    at = np.arange(len(key))
+    nth = np.empty(len(key), np.int64)
+    nth[order] = at - np.maximum.accumulate(np.where(new, at, 0))
+    return nth
 
 
 def gram_hashes(hashes: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -20,28 +20,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textblocks as tb
-from .common import id_text, map_arrow, tokenizer_path, worker_cache
+from .common import id_text, map_arrow, tokenizer_path, worker_state
 
 VOCABULARY = "piece_bpe_32k.model"
 FREQUENT = 8192
 MAX_LETTERS = 64
 MERGERS = 64
-CACHE_WORDS = 400_000
+#: What a worker keeps of what it has encoded, in bytes (about 120 an entry and its letters).
+CACHE_BYTES = 48 << 20
 LIMIT = 4096
 #: Fixed value: the character that stands for a space in the pieces.
 SPACE_MARK = "▁"
 
 
-def _processor(vocabulary: str):
-    def build():
+class Pieces:
+    """The library's processor, and the lengths that a worker knows."""
+
+    def __init__(self, vocabulary: str):
         import sentencepiece
 
-        sp = sentencepiece.SentencePieceProcessor(model_file=vocabulary if "/" in vocabulary else tokenizer_path(vocabulary))
+        self.sp = sp = sentencepiece.SentencePieceProcessor(model_file=vocabulary if "/" in vocabulary else tokenizer_path(vocabulary))
         if any(SPACE_MARK in p.lstrip(SPACE_MARK) for p in (sp.id_to_piece(i) for i in range(sp.get_piece_size()))):
             raise ValueError("a piece holds a space after another character: counts of pre-tokens would not add up")
-        return sp
+        self.known: dict[str, int] = {}
+        self.weight = 0
+
 
-    return worker_cache(("pieces", vocabulary), build)
+def _pieces(vocabulary: str) -> Pieces:
+    return worker_state(("pieces", vocabulary), lambda: Pieces(vocabulary))
 
 
 def lengths(sp, pretokens: list[str]) -> list[int]:
@@ -70,22 +76,27 @@ def frequent_table(docs: DataFrame, sp, frequent: int) -> dict[str, int]:
 def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, limit: int = LIMIT, frequent: int = FREQUENT) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) of every whole text."""
     rows = id_text(docs, id_col, text_col)
-    table = rows.sparkSession.sparkContext.broadcast(frequent_table(rows, _processor(vocabulary), frequent))
+    table = rows.sparkSession.sparkContext.broadcast(frequent_table(rows, Pieces(vocabulary).sp, frequent))
 
     def run(batches):
-        sp = _processor(vocabulary)
-        known = worker_cache(("lengths", vocabulary), dict)
+        own_pieces = _pieces(vocabulary)
+        sp, known = own_pieces.sp, own_pieces.known
         first = table.value
         for batch in batches:
             for lo, hi in tb.slices(batch.column(1)):
                 column = batch.column(1).slice(lo, hi - lo)
                 found = [pretokens(t or "") for t in column.to_pylist()]
-                if len(known) > CACHE_WORDS:
+                if own_pieces.weight > CACHE_BYTES:
                     known.clear()
+                    own_pieces.weight = 0
                 new = list({w for own in found for w in own if w not in first and w not in known})
                 long = {}
                 for w, n in zip(new, lengths(sp, new) if new else []):
-                    (known if len(w) <= MAX_LETTERS else long)[w] = n
+                    if len(w) <= MAX_LETTERS:
+                        known[w] = n
+                        own_pieces.weight += 120 + 2 * len(w)
+                    else:
+                        long[w] = n
                 both = {**known, **first, **long} if long else None
                 counts = []
                 for own in found:

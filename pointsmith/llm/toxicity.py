@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textblocks as tb
-from .common import id_text, map_arrow, worker_cache
+from .common import id_text, map_arrow, worker_state
 from .labelled import fit_logistic, logistic, remainder, sample
 
 TOXIC_ROWS = 6000
@@ -147,10 +147,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         own = shared.value
         features = None
         if own.weights is not None:  # a worker keeps the lengths it knows for one model at a time
-            kept = worker_cache("toxicity", dict)
-            if kept.get("key") != own.key:
-                kept.update(key=own.key, features=own.scorer())
-            features = kept["features"]
+            features = worker_state(("toxicity", own.key), own.scorer)
         for batch in batches:
             for lo, hi in tb.slices(batch.column(1)):
                 texts = batch.column(1).slice(lo, hi - lo).to_pylist()
