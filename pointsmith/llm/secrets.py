@@ -75,9 +75,10 @@ def literal_score(value: str, quoted: bool = True) -> float:
     if n < 8:
         return 0.0
     if re.search(r"\s", value.strip()):
-        words = {w for w in value.split() if len(w) >= 3}
-        if "\n" in value and len(words) > 1 and max(map(len, words)) >= 40:  # lines of one long key
+        lines = value.split("\n")
+        if len(lines) > 1 and not any(re.search(r"\s", x.strip()) for x in lines):  # lines of one key
             return literal_score("".join(value.split()))
+        words = {w for w in value.split() if len(w) >= 3}
         return min(0.75, 12 * len(words) / 64) if quoted and 3 <= len(words) <= 12 else 0.0
     bits = -sum(c * math.log2(c / n) for c in Counter(value).values())
     classes = sum(bool(re.search(p, value)) for p in ("[a-z]", "[A-Z]", "[0-9]", r"[^A-Za-z0-9]"))
