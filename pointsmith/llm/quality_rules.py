@@ -144,21 +144,37 @@ _GROUP = ["g_lang", "g_source"]
 _KEY = [*_GROUP, "start"]
 _FIXED = [f"f{i}" for i in range(_N)]
 _MIDDLE = [f"m{i}" for i in range(_N)]
-_FACTOR = [f"l{i}{j}" for i, j in _PAIRS]
+
+
+# Expressions over the statistics are SQL text: the same few long ones serve every step.
+def _place(i: int | str, j: int | str) -> str:
+    """Where the entry (i, j) of a lower triangle lies in its array of rows."""
+    return f"cast({i} * ({i} + 1) / 2 + {j} as int)"
+
+
+def _triangle(step: str) -> str:
+    """An array built entry by entry: step is SQL over acc, the entries so far, and e, the entry's place t, row i and column j."""
+    places = ", ".join(f"named_struct('t', {t}, 'i', {i}, 'j', {j})" for t, (i, j) in enumerate(_PAIRS))
+    return f"aggregate(array({places}), cast(array() as array<double>), (acc, e) -> concat(acc, array({step})))"
+
+
+def _sum_over(first: str, n: str, term: str) -> str:
+    """The sum of a term over n places k from `first`, none if n is 0."""
+    return f"aggregate(slice(array({', '.join(map(str, range(_N)))}), {first} + 1, {n}), 0D, (a, k) -> a + {term})"
+
+
+#: Cholesky's factor of the covariance c. A floor under the pivots keeps it real where statistics depend on each other.
+_REST = f"(get(c, e.t) - {_sum_over('0', 'e.j', f'get(acc, {_place("e.i", "k")}) * get(acc, {_place("e.j", "k")})')})"
+_FACTOR = _triangle(f"CASE WHEN e.i = e.j THEN sqrt(greatest({_REST}, {TINY**2}D)) ELSE {_REST} / get(acc, {_place('e.j', 'e.j')}) END")
+#: The inverse of the factor l, so that a distance is a sum of products.
+_INVERSE = _triangle(f"((CASE WHEN e.i = e.j THEN 1D ELSE 0D END) - {_sum_over('e.j', 'e.i - e.j', f'get(l, {_place("e.i", "k")}) * get(acc, {_place("k", "e.j")})')}) / get(l, {_place('e.i', 'e.i')})")
+_LOGDET = " + ".join(f"2 * ln(l[{t}])" for t, (i, j) in enumerate(_PAIRS) if i == j)
 
 
 def _with_factor(estimate: DataFrame) -> DataFrame:
-    """The estimate with its covariance's Cholesky factor, l00, l10, l11, .., and the log of the determinant."""
-    out = estimate
-    for i in range(_N):
-        for j in range(i + 1):
-            rest = F.col(f"c{i}{j}")
-            for k in range(j):
-                rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-            # A floor under the pivots keeps the factor real where statistics depend on each other.
-            out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(TINY**2))) if i == j else rest / F.col(f"l{j}{j}"))
-    logdet = sum((2 * F.log(F.col(f"l{i}{i}")) for i in range(_N)), F.lit(0.0))
-    return out.select(*_KEY, "n", *_FIXED, *_MIDDLE, *_FACTOR, logdet.alias("logdet"))
+    """The estimate with its covariance's factor l, the factor's inverse v (as rows), and the log of the determinant."""
+    own = [*_KEY, "n", *_FIXED, *_MIDDLE]
+    return estimate.selectExpr(*own, f"{_FACTOR} AS l").selectExpr(*own, "l", f"{_INVERSE} AS v", f"{_LOGDET} AS logdet")
 
 
 class Pool:
@@ -171,43 +187,34 @@ class Pool:
         self.unit = [s[n] if (s[n] or 0.0) > TINY else UNITS[n] for n in _NAMES]
 
     def drawn(self, sums: DataFrame) -> DataFrame:
-        """(key, n, fixed, m, c) of a group's own estimate -> the regularised one."""
-        share = F.col("n") / (F.col("n") + PRIOR)
-        middle = [(F.when(F.col(f"f{i}"), F.col(f"m{i}")).otherwise(share * F.col(f"m{i}") + (1 - share) * self.middle[i])).alias(f"m{i}") for i in range(_N)]
+        """(key, n, fixed, m, c: an array of the covariances) of a group's own estimate -> the regularised one."""
+        share = f"(n / (n + {PRIOR}D))"
+        middle = [f"CASE WHEN f{i} THEN m{i} ELSE {share} * m{i} + (1 - {share}) * {self.middle[i]!r}D END AS m{i}" for i in range(_N)]
 
-        def entry(i: int, j: int) -> Column:
-            prior = self.unit[i] ** 2 if i == j else 0.0
-            own = share * F.coalesce(f"c{i}{j}", F.lit(0.0)) + (1 - share) * prior
-            return F.when(F.col(f"f{i}") | F.col(f"f{j}"), F.lit(UNITS[_NAMES[i]] ** 2 if i == j else 0.0)).otherwise(own).alias(f"c{i}{j}")
+        def entry(t: int, i: int, j: int) -> str:
+            fixed, prior = (repr(float(UNITS[_NAMES[i]] ** 2)), repr(float(self.unit[i] ** 2))) if i == j else ("0.0", "0.0")
+            return f"CASE WHEN f{i} OR f{j} THEN {fixed}D ELSE {share} * coalesce(c[{t}], 0D) + (1 - {share}) * {prior}D END"
 
-        return _with_factor(sums.select(*_KEY, "n", *_FIXED, *middle, *(entry(i, j) for i, j in _PAIRS)))
+        return _with_factor(sums.selectExpr(*_KEY, "n", *_FIXED, *middle, f"array({', '.join(entry(t, i, j) for t, (i, j) in enumerate(_PAIRS))}) AS c"))
 
 
-def _estimate(rows: DataFrame, pool: Pool) -> DataFrame:
-    """The regularised estimate of each key's rows; rows carry n and the fixed statistics' flags and centres."""
-    x = [F.col(n) for n in _NAMES]
-    centres = [F.when(F.first(f"f{i}"), F.first(f"m{i}")).otherwise(F.avg(c)).alias(f"m{i}") for i, c in enumerate(x)]
-    sums = rows.groupBy(*_KEY).agg(F.first("n").alias("n"), *(F.first(f).alias(f) for f in _FIXED), *centres, *(F.covar_pop(x[i], x[j]).alias(f"c{i}{j}") for i, j in _PAIRS))
-    return pool.drawn(sums)
+_COVARIANCES = f"array({', '.join(f'covar_pop({_NAMES[i]}, {_NAMES[j]})' for i, j in _PAIRS)})"
+_FIRSTS = "struct(first(n) AS n, " + ", ".join(f"first({f}) AS {f}" for f in _FIXED) + ", " + ", ".join(f"CASE WHEN first(f{i}) THEN first(m{i}) ELSE avg({x}) END AS m{i}" for i, x in enumerate(_NAMES)) + ")"
 
 
-def _squares() -> list[Column]:
-    """The squared Mahalanobis distance in one part a statistic, by forward substitution."""
-    z: list[Column] = []
-    for i, name in enumerate(_NAMES):
-        rest = F.col(name) - F.col(f"m{i}")
-        for k in range(i):
-            rest = rest - F.col(f"l{i}{k}") * z[k]
-        z.append(rest / F.col(f"l{i}{i}"))
-    return [c * c for c in z]
+def _estimate(rows: DataFrame, pool: Pool) -> DataFrame:
+    """The regularised estimate of each key's rows; rows carry n and the fixed statistics' flags and centres."""
+    return pool.drawn(rows.groupBy(*_KEY).agg(F.expr(_FIRSTS).alias("x"), F.expr(_COVARIANCES).alias("c")).select(*_KEY, "x.*", "c"))
 
 
-def _square(scale: Column | None = None) -> Column:
-    """The squared distance; a scale divides the fitted statistics' parts only."""
-    parts = _squares()
-    if scale is None:
-        return sum(parts[1:], parts[0])
-    return sum((F.when(F.col(f), p).otherwise(p / scale) for f, p in zip(_FIXED, parts)), F.lit(0.0))
+#: The squared Mahalanobis distance in one part a statistic.
+_SQUARES = [f"pow({' + '.join(f'v[{i * (i + 1) // 2 + j}] * ({_NAMES[j]} - m{j})' for j in range(i + 1))}, 2)" for i in range(_N)]
+_SQUARE = " + ".join(_SQUARES)
+#: The fitted statistics' part of it, and how many they are.
+_FITTED = " + ".join(f"CASE WHEN f{i} THEN 0D ELSE {x} END" for i, x in enumerate(_SQUARES))
+_N_FITTED = " + ".join(f"CASE WHEN f{i} THEN 0 ELSE 1 END" for i in range(_N))
+#: The distance with the scale, which holds for the fitted statistics only.
+_SCALED = " + ".join(f"CASE WHEN f{i} THEN {x} ELSE {x} / scale END" for i, x in enumerate(_SQUARES))
 
 
 def _join(rows: DataFrame, groups: DataFrame, small: bool, on: list[str], how: str = "inner") -> DataFrame:
@@ -216,10 +223,14 @@ def _join(rows: DataFrame, groups: DataFrame, small: bool, on: list[str], how: s
 
 def _starts(rows: DataFrame, pool: Pool, small: bool) -> DataFrame:
     """Estimates to start from: 0 from medians and median deviations, the others from hashed quarters of the texts."""
-    middle = rows.groupBy(*_GROUP).agg(F.count(F.lit(1)).alias("n"), *(F.percentile_approx(n, 0.5, 1000).alias(f"m{i}") for i, n in enumerate(_NAMES)))
-    spread = _join(rows, middle, small, _GROUP).groupBy(*_GROUP).agg(F.first("n").alias("n"), *(F.first(m).alias(m) for m in _MIDDLE), *((F.percentile_approx(F.abs(F.col(x) - F.col(f"m{i}")), 0.5, 1000) * 1.4826).alias(f"s{i}") for i, x in enumerate(_NAMES)))
-    flagged = cut(rows.sparkSession, spread.select(*_GROUP, "n", *_MIDDLE, *(f"s{i}" for i in range(_N)), *((F.col(f"s{i}") <= TINY).alias(f"f{i}") for i in range(_N))))
-    first = pool.drawn(flagged.select(*_GROUP, F.lit(0).alias("start"), "n", *_FIXED, *_MIDDLE, *((F.col(f"s{i}") ** 2 if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i, j in _PAIRS)))
+    medians = ", ".join(f"percentile_approx({x}, 0.5, 1000) AS m{i}" for i, x in enumerate(_NAMES))
+    middle = rows.groupBy(*_GROUP).agg(F.expr(f"struct(count(1) AS n, {medians})").alias("x")).select(*_GROUP, "x.*")
+    firsts = ", ".join(f"first({c}) AS {c}" for c in ("n", *_MIDDLE))
+    spreads = ", ".join(f"percentile_approx(abs({x} - m{i}), 0.5, 1000) * 1.4826 AS s{i}" for i, x in enumerate(_NAMES))
+    spread = _join(rows, middle, small, _GROUP).groupBy(*_GROUP).agg(F.expr(f"struct({firsts}, {spreads})").alias("x")).select(*_GROUP, "x.*")
+    flagged = cut(rows.sparkSession, spread.selectExpr("*", *(f"s{i} <= {TINY}D AS f{i}" for i in range(_N))))
+    spreads = ", ".join(f"pow(s{i}, 2)" if i == j else "0D" for i, j in _PAIRS)
+    first = pool.drawn(flagged.selectExpr(*_GROUP, "0 AS start", "n", *_FIXED, *_MIDDLE, f"array({spreads}) AS c"))
     part = F.pmod(F.xxhash64(*_NAMES), F.lit(4)).cast("int")
     quarters = _join(rows, flagged.select(*_GROUP, "n", *_FIXED, *_MIDDLE), small, _GROUP).withColumn("start", part + 1).where(F.col("start") < STARTS)
     return first.union(_estimate(quarters, pool))
@@ -233,7 +244,7 @@ def mcd(rows: DataFrame, steps: int = STEPS) -> DataFrame:
     now = cut(spark, _starts(rows, pool, small))
     for step in range(steps):
         on = _GROUP
-        far = _join(rows, now, small, on).withColumn("d", _square()).select(*_KEY, "n", *_NAMES, *_FIXED, *_MIDDLE, "d", "logdet")
+        far = _join(rows, now, small, on).withColumn("d", F.expr(_SQUARE)).select(*_KEY, "n", *_NAMES, *_FIXED, *_MIDDLE, "d", "logdet")
         half = cut(spark, far.groupBy(*_KEY).agg(F.percentile_approx("d", 0.5, 1000).alias("h"), F.first("logdet").alias("before")))
         nearest = _join(far, half.drop("before"), small, _KEY).where(F.col("d") <= F.col("h"))
         new = cut(spark, _estimate(nearest, pool))
@@ -245,11 +256,8 @@ def mcd(rows: DataFrame, steps: int = STEPS) -> DataFrame:
         if step > 1 and (fallen is None or fallen < SETTLED):
             break
     # The half's covariance is too small; the median distance of the fitted statistics says by how much.
-    zero = F.lit(0.0)
-    fitted = sum((F.when(F.col(f), zero).otherwise(p) for f, p in zip(_FIXED, _squares())), zero)
-    n_fitted = sum((F.when(F.col(f), 0).otherwise(1) for f in _FIXED), F.lit(0))
-    median = F.get(F.array(*(F.lit(chi_square(0.5, k)) for k in range(_N + 1))), F.first(n_fitted))
-    scale = _join(rows, now, small, _GROUP).withColumn("d", fitted).groupBy(*_GROUP).agg((F.percentile_approx("d", 0.5, 1000) / median).alias("s"), F.first("n").alias("k"))
+    median = F.get(F.array(*(F.lit(chi_square(0.5, k)) for k in range(_N + 1))), F.first(F.expr(_N_FITTED)))
+    scale = _join(rows, now, small, _GROUP).withColumn("d", F.expr(_FITTED)).groupBy(*_GROUP).agg((F.percentile_approx("d", 0.5, 1000) / median).alias("s"), F.first("n").alias("k"))
     # Drawn to one as the covariance is drawn to that of all texts.
     scale = scale.select(*_GROUP, F.greatest((F.col("s") * F.col("k") + PRIOR) / (F.col("k") + PRIOR), F.lit(TINY)).alias("scale"))
     return cut(spark, _join(now.drop("start"), scale, small, _GROUP))
@@ -264,6 +272,6 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     marked = counts.withColumns({"base_failed": failed, **_statistics()})
     estimates = mcd(marked.where(~F.col("base_failed")).select(*_GROUP, *_NAMES))
     small = estimates.count() <= MAX_GROUPS
-    judged = _join(marked, estimates, small, _GROUP, "left").withColumn("distance", F.sqrt(_square(F.col("scale"))))
+    judged = _join(marked, estimates, small, _GROUP, "left").withColumn("distance", F.sqrt(F.expr(_SCALED)))
     inside = F.coalesce(F.col("distance") <= math.sqrt(chi_square(keep, _N)), F.lit(True))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & inside).alias("kept"), "distance")
