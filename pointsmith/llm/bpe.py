@@ -27,7 +27,7 @@ from .common import id_text, map_arrow, tokenizer_path, worker_state
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: What a worker keeps of what it has encoded, in bytes as estimated by _weight; longer pre-tokens are not kept.
-CACHE_BYTES = 72 << 20
+CACHE_BYTES = 112 << 20
 CACHE_WORD_LETTERS = 256
 
 
