@@ -136,7 +136,7 @@ def test_quality_rules_follow_each_groups_spread(spark):
 
 
 def test_chi_square():
-    assert quality_rules.chi_square_4(0.95) == pytest.approx(9.4877, abs=1e-3)
+    assert quality_rules.chi_square(0.95, 4) == pytest.approx(9.4877, abs=1e-3) and quality_rules.chi_square(0.5, 1) == pytest.approx(0.4549, abs=1e-3)
 
 
 def near_fixture():
@@ -402,3 +402,132 @@ def test_pipeline_judges_rows_without_an_id(spark, data):
     nameless = docs.join(bad, "doc_id", "left_semi").limit(5).withColumn("doc_id", F.lit(None).cast("long")).select(*docs.columns)
     assert nameless.count() == 5
     assert cp.quality_filter(spark, docs.union(nameless), data).where("doc_id is null").count() == 0
+
+
+def test_secrets_planted_cases():
+    """Each syntax's literal is found; ordinary assignments, prose and comparisons are left alone."""
+    key = "kJ8#mZ2$qW9xT4@vB"
+    planted = [
+        f'db_pwd = "{key}"', f"auth_key: {key}", f'{{"client_secret_key": "{key}"}}', f"passphrase => '{key}'", f"export DB_PWD={key}", f"pwd := `{key}`",
+        f"<credentials>{key}</credentials>", f'credential = """{key}\n{key}"""', f"private_key: |\n  {key}\n  {key}\nnext: 1", f'pwd = a\na = "{key}"', f"pwd = $a\nb = 2\nexport a={key}",
+        f'a = "{key}"\nb = a\naccess_key = b', 'credential = "kJ8#mZ2" + "$qW9!xx"', 'passphrase = "correct horse battery staple"', f'{"x" * 300}_pwd = "{key}"', f'pwd = "ab\\"{key}"',
+    ]
+    found = lambda t: [t[s:e] for s, k, e in secrets.secret_spans(t)[1] if k == 3]
+    assert [t for t in planted if not found(t)] == []
+    clean = ["colour = 'kJ8#mZ2$qW9!'", "password: must be at least eight characters long", "The key: understanding of everything", "if x == 'kJ8#mZ2$qW9!':", "see https://host/path?a=b", "pwd = getpass(prompt)", "salt = 'aaaaaaaaaaaa'", "", "==::=>"]
+    assert [(t, found(t)) for t in clean if found(t)] == []
+
+
+@pytest.mark.parametrize("text", ["foo_" * 50000 + "pwd = ", "a = b\n" * 30000, "".join(f"a{i} = a{i + 1}\n" for i in range(10000)), "k: |\n" + "  x\n" * 30000, 'k: "\n' * 30000, "<a >" * 20000, "k: '''\n" * 10000])
+def test_secrets_take_time_in_proportion(text):
+    import time
+
+    began = time.process_time()
+    secrets.secret_spans(text)
+    assert time.process_time() - began < 5
+
+
+def test_estimates_are_fixed_points_of_the_c_step(spark):
+    """Brute force: the half of each group's rows nearest by the estimate gives the estimate again."""
+    r = np.random.default_rng(9)
+    n = quality_rules._N
+    rows = []
+    for g, size in (("a", 600), ("b", 60), ("c", 6)):
+        mix = r.normal(size=(n, n)) * 0.05
+        x = r.normal(size=(size, n)) @ mix + r.normal(size=n)
+        x[: size // 5] += 3.0  # a fifth is far out and must not matter
+        rows += [(g, "s", *map(float, v)) for v in x]
+    df = spark.createDataFrame(rows, "g_lang string, g_source string, " + ", ".join(f"{c} double" for c in quality_rules._NAMES))
+    pool = quality_rules.Pool(df)
+    found = {e["g_lang"]: e for e in quality_rules.mcd(df).collect()}
+    assert set(found) == {"a", "b", "c"}
+    for g, e in found.items():
+        x = np.array([v[2:] for v in rows if v[0] == g])
+        m = np.array([e[f"m{i}"] for i in range(n)])
+        low = np.zeros((n, n))
+        for (i, j), x_ in zip(quality_rules._PAIRS, e["l"]):
+            low[i, j] = x_
+        inverse = np.zeros((n, n))
+        for (i, j), x_ in zip(quality_rules._PAIRS, e["v"]):
+            inverse[i, j] = x_
+        assert np.allclose(low @ inverse, np.eye(n))
+        d = (np.linalg.solve(low, (x - m).T) ** 2).sum(axis=0)
+        half = x[d <= np.sort(d)[int(np.ceil(0.5 * len(d))) - 1]]
+        share = len(x) / (len(x) + quality_rules.PRIOR)
+        cov = share * np.cov(half.T, bias=True) + (1 - share) * np.diag(np.square(pool.unit))
+        centre = share * half.mean(axis=0) + (1 - share) * np.array(pool.middle)
+        assert np.allclose(centre, m, atol=0.02) and abs(np.linalg.slogdet(cov)[1] - e["logdet"]) < 0.05
+        if g == "a":
+            assert np.abs(m - np.median(x[120:], axis=0)).max() < 0.1
+
+
+def test_pii_needs_more_than_seeds_by_chance(spark):
+    """Function words before numbers are no pattern, nor are words that mostly stand without an instance."""
+    rows = [(i, f"{prose(20, i)} of the +1 (555) 555-{1000 + i} of the {prose(3, i)} of the hill of the sea") for i in range(40)] + [(99, "some of the 12345678 here")]
+    assert all(not r["found"] for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+
+
+@pytest.mark.parametrize("run", [toxicity.toxicity, quality.quality])
+def test_classifiers_on_odd_tables(spark, run):
+    """Clashing columns, null ids, repeated rows, very long texts, an empty table."""
+    docs, labels = labelled(spark, 120)
+    odd = spark.createDataFrame([(None, "a b"), (5, "same"), (5, "same"), (900, prose(20000, 3))], docs.schema)
+    both = docs.union(odd).withColumns({"score": F.lit("x"), "label": F.lit(3), "held_out": F.lit(None).cast("string"), "size": F.lit(1)})
+    out = run(both, labels.withColumn("text", F.lit("other")))
+    assert out.count() == 124 and out.columns == ["doc_id", "held_out", "score", "predicted"]
+    assert out.where("doc_id is null and held_out").count() == 0
+    assert out.where("doc_id = 5").select("score").distinct().count() <= 2
+    assert run(docs.where("false"), labels).count() == 0
+
+
+def test_quality_keeps_rows_whole(spark):
+    docs, labels = labelled(spark, 120)
+    wide = docs.withColumns({"n": F.col("doc_id") * 2, "score": F.lit("x")})
+    model = quality.fit(quality.training_rows(docs, labels))
+    want = {r["doc_id"] for r in quality.score(docs, model).where("predicted = 1").collect()}
+    kept = quality.keep_good(wide, model)
+    assert kept.schema == wide.schema and {r["doc_id"] for r in kept.collect()} == want and all(r["n"] == 2 * r["doc_id"] for r in kept.collect())
+
+
+def test_sample_is_bounded_in_bytes(spark):
+    from pointsmith.llm.labelled import sample
+
+    docs = spark.createDataFrame([(i, "x" * 100) for i in range(200)] + [(500, None), (501, "y" * 30000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)] + [(500, 1), (501, 1)], "doc_id long, quality int")
+    got_ = sample(docs, labels, "quality", {0: 50, 1: 50}, 3, 1, max_bytes=3000)
+    assert 1 <= got_.num_rows <= 30 and sample(docs, labels, "quality", {0: 10, 1: 10}, 3, 1).num_rows == 20
+    assert max(len(t) for t in got_.column("text").to_pylist()) == 100
+
+
+def test_keep_clean_beyond_the_broadcast_bound(spark):
+    bench = spark.createDataFrame(ITEMS, "item_id long, text string")
+    rows = [(None, prose(40, 1000)), (1, prose(90, 12)), (1, prose(40, 1000)), (2, None), (None, prose(50, 13))]
+    df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, items string")
+    for bound in (1 << 26, 1):
+        kept = decontaminate.keep_clean(df, bench, max_broadcast_bytes=bound)
+        assert kept.columns == df.columns
+        assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted((rows[k] for k in (1, 3, 4)), key=str)
+
+
+def test_word_hashes_do_not_depend_on_chunks(monkeypatch):
+    from pointsmith.llm import textblocks as tb
+
+    texts = pa.array([prose(3000, 1), "z" * 5000 + " " + prose(50, 2), None, ""])
+    block = tb.Block(texts)
+    starts, ends, _, _ = tb.words(block, tb.WHITE)
+    whole = tb.word_hashes(block.data, starts, ends)
+    monkeypatch.setattr(tb, "CHUNK_BYTES", 64)
+    assert (tb.word_hashes(block.data, starts, ends) == whole).all()
+
+
+def test_sketches_of_long_texts_in_parts(monkeypatch):
+    own = minhash.shingles(pa.array([prose(3000, 4)]))[0]
+    whole = minhash.sketch(own)
+    monkeypatch.setattr(minhash, "CELLS", 1)
+    assert (minhash.sketch(own) == whole).all()
+
+
+def test_different_texts_of_one_id_are_told_apart(spark):
+    rows = [(1, prose(60, 1)), (1, prose(60, 2)), (2, prose(60, 2)), (None, prose(60, 2)), (None, None), (3, "")]
+    out = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(((r["doc_id"], r["class_id"], r["n_copies"]) for r in out.collect()), key=str) == sorted([(1, 1, 1), (1, 1, 3), (2, 1, 3), (None, 1, 3), (None, 3, 2), (3, 3, 2)], key=str)
