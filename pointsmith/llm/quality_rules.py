@@ -62,6 +62,8 @@ PRIOR = 20
 #: Share of regular texts that the cut-off lets through.
 KEEP = 0.9999
 MAX_GROUPS = 100_000
+#: Up to so many groups their estimates, some 100 numbers for each start, pass through the driver between steps.
+LOCAL_GROUPS = 2000
 
 
 def _repeat_words(hashes: Column) -> Column:
@@ -221,14 +223,22 @@ def _join(rows: DataFrame, groups: DataFrame, small: bool, on: list[str], how: s
     return rows.join(F.broadcast(groups) if small else groups, on, how)
 
 
-def _starts(rows: DataFrame, pool: Pool, small: bool) -> DataFrame:
+def _held(df: DataFrame, n: int) -> DataFrame:
+    """A table of a few numbers a group: with few groups at the driver, as rows of the plan, else in the shared folder."""
+    if n > LOCAL_GROUPS:
+        return cut(df.sparkSession, df)
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+
+
+def _starts(rows: DataFrame, pool: Pool, n: int) -> DataFrame:
     """Estimates to start from: 0 from medians and median deviations, the others from hashed quarters of the texts."""
+    small = n <= MAX_GROUPS
     medians = ", ".join(f"percentile_approx({x}, 0.5, 1000) AS m{i}" for i, x in enumerate(_NAMES))
     middle = rows.groupBy(*_GROUP).agg(F.expr(f"struct(count(1) AS n, {medians})").alias("x")).select(*_GROUP, "x.*")
     firsts = ", ".join(f"first({c}) AS {c}" for c in ("n", *_MIDDLE))
     spreads = ", ".join(f"percentile_approx(abs({x} - m{i}), 0.5, 1000) * 1.4826 AS s{i}" for i, x in enumerate(_NAMES))
     spread = _join(rows, middle, small, _GROUP).groupBy(*_GROUP).agg(F.expr(f"struct({firsts}, {spreads})").alias("x")).select(*_GROUP, "x.*")
-    flagged = cut(rows.sparkSession, spread.selectExpr("*", *(f"s{i} <= {TINY}D AS f{i}" for i in range(_N))))
+    flagged = _held(spread.selectExpr("*", *(f"s{i} <= {TINY}D AS f{i}" for i in range(_N))), n)
     spreads = ", ".join(f"pow(s{i}, 2)" if i == j else "0D" for i, j in _PAIRS)
     first = pool.drawn(flagged.selectExpr(*_GROUP, "0 AS start", "n", *_FIXED, *_MIDDLE, f"array({spreads}) AS c"))
     part = F.pmod(F.xxhash64(*_NAMES), F.lit(4)).cast("int")
@@ -238,29 +248,29 @@ def _starts(rows: DataFrame, pool: Pool, small: bool) -> DataFrame:
 
 def mcd(rows: DataFrame, steps: int = STEPS) -> DataFrame:
     """rows (with the statistics and group columns) -> one estimate a group: n, centre, Cholesky factor, logdet, scale."""
-    spark = rows.sparkSession
-    small = rows.select(*_GROUP).distinct().count() <= MAX_GROUPS
+    n = rows.select(*_GROUP).distinct().count()
+    small = n <= MAX_GROUPS
     pool = Pool(rows)
-    now = cut(spark, _starts(rows, pool, small))
+    now = _held(_starts(rows, pool, n), n)
     for step in range(steps):
-        on = _GROUP
-        far = _join(rows, now, small, on).withColumn("d", F.expr(_SQUARE)).select(*_KEY, "n", *_NAMES, *_FIXED, *_MIDDLE, "d", "logdet")
-        half = cut(spark, far.groupBy(*_KEY).agg(F.percentile_approx("d", 0.5, 1000).alias("h"), F.first("logdet").alias("before")))
+        far = _join(rows, now, small, _GROUP).withColumn("d", F.expr(_SQUARE)).select(*_KEY, "n", *_NAMES, *_FIXED, *_MIDDLE, "d", "logdet")
+        half = _held(far.groupBy(*_KEY).agg(F.percentile_approx("d", 0.5, 1000).alias("h"), F.first("logdet").alias("before")), n)
         nearest = _join(far, half.drop("before"), small, _KEY).where(F.col("d") <= F.col("h"))
-        new = cut(spark, _estimate(nearest, pool))
+        new = _held(_estimate(nearest, pool), n)
         if step == 1:  # each group goes on with the start of its least determinant
             best = new.groupBy(*_GROUP).agg(F.min_by("start", F.struct("logdet", "start")).alias("start"))
-            new = cut(spark, new.join(F.broadcast(best) if small else best, _KEY, "left_semi"))
-        fallen = new.join(half, _KEY).agg(F.max(F.col("before") - F.col("logdet")).alias("by")).first()["by"]
+            new = _held(new.join(F.broadcast(best) if small else best, _KEY, "left_semi"), n)
         now = new
-        if step > 1 and (fallen is None or fallen < SETTLED):
-            break
+        if step > 1:
+            fallen = new.join(half, _KEY).agg(F.max(F.col("before") - F.col("logdet")).alias("by")).first()["by"]
+            if fallen is None or fallen < SETTLED:
+                break
     # The half's covariance is too small; the median distance of the fitted statistics says by how much.
     median = F.get(F.array(*(F.lit(chi_square(0.5, k)) for k in range(_N + 1))), F.first(F.expr(_N_FITTED)))
     scale = _join(rows, now, small, _GROUP).withColumn("d", F.expr(_FITTED)).groupBy(*_GROUP).agg((F.percentile_approx("d", 0.5, 1000) / median).alias("s"), F.first("n").alias("k"))
     # Drawn to one as the covariance is drawn to that of all texts.
     scale = scale.select(*_GROUP, F.greatest((F.col("s") * F.col("k") + PRIOR) / (F.col("k") + PRIOR), F.lit(TINY)).alias("scale"))
-    return cut(spark, _join(now.drop("start"), scale, small, _GROUP))
+    return _held(_join(now.drop("start"), scale, small, _GROUP), n)
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", keep: float = KEEP) -> DataFrame:
