@@ -60,3 +60,33 @@ def best(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         return np.nonzero(np.ones(scores.shape, bool))
     least = np.partition(scores, len(scores) - k, axis=0)[len(scores) - k]
     return np.nonzero(scores >= least)
+
+
+#: Pairs that are scored at a time.
+PAIR_BLOCK = 65_536
+
+
+def score_pairs(x: np.ndarray, fits: np.ndarray, q: np.ndarray, row: np.ndarray, column: np.ndarray, distance: str) -> np.ndarray:
+    """The scores of single pairs (a row of x, a row of q). Equal vectors score alike wherever they stand, while those of
+    a matrix product may differ in the last bit."""
+    if distance not in ("Euclidean", "Dot"):
+        x, q = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300) for m in (x, q))
+    out = np.empty(len(row))
+    for i in range(0, len(row), PAIR_BLOCK):
+        a, b = x[row[i : i + PAIR_BLOCK]], q[column[i : i + PAIR_BLOCK]]
+        if distance == "Euclidean":
+            a, b = a - b, a - b
+        out[i : i + PAIR_BLOCK] = np.einsum("ij,ij->i", a, b)
+    if distance == "Euclidean":
+        out = np.where(fits[row], 0.0 - np.sqrt(out), -np.inf)
+    return out
+
+
+def at_least(scores: np.ndarray, k: int, floor: np.ndarray, slack: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the entries from each column's floor on, and from its k-th largest on, less some slack."""
+    kept = scores >= floor - slack
+    full = np.flatnonzero(kept.sum(axis=0) > k)
+    if len(full):
+        least = np.partition(scores[:, full], len(scores) - k, axis=0)[len(scores) - k]
+        kept[:, full] &= scores[:, full] >= least - slack[full]
+    return np.nonzero(kept)

@@ -14,10 +14,12 @@ import math
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
+from pointsmith.functions import kernels
 from pointsmith.session import ship
 
 from .points import score_column
@@ -29,8 +31,14 @@ SAMPLE_ROWS = 50_000
 #: recall of 0.9, and the share needed falls as tables grow.
 PROBE_SHARE = 0.65
 MAX_CELLS = 16_384
-#: Rows held against all centres at a time on the driver.
+#: Rows held against all centres, or a thousand queries, at a time.
 FIT_BLOCK = 2048
+#: Queries, with a byte for each cell, that are broadcast at a time.
+QUERY_BYTES = 32 << 20
+#: Rows of an index that one task of a batch search reads, from so many rows on that each core has as many.
+TASK_ROWS = 1 << 20
+#: Scored pairs that a task gathers before it keeps the best of each query only.
+PENDING = 500_000
 
 
 def fit_centres(points: DataFrame, cells: int, vector: str = "vector", id_col: str = "id", sample_rows: int = SAMPLE_ROWS, rounds: int = 12, seed: int = 7) -> np.ndarray:
@@ -104,31 +112,102 @@ def search(index: DataFrame, centres: np.ndarray, query: list[float], limit: int
 
 
 def search_batch(index: DataFrame, centres: np.ndarray, queries: DataFrame, limit: int = 10, probes: int | None = None, distance: str = "Cosine", flt: dict | None = None, vector: str = "vector", id_col: str = "id", get=None) -> DataFrame:
-    """(query_id, id, score, rank) for a frame of queries (query_id, q), each over its own cells, in broadcast blocks."""
+    """(query_id, id, score, rank) for a frame of queries (query_id, q), each over its own cells.
+
+    The queries are broadcast with the cells that they probe, `QUERY_BYTES` at a time. A task scores the rows of a cell
+    by one matrix product with the queries that probe it, and gives its own best of each query when it has read all its
+    rows; a few large tasks read the index, so that few rows a query are shuffled.
+    """
     ship(index.sparkSession)
     shared = index.sparkSession.sparkContext.broadcast(centres)
     n_probes = probes or default_probes(centres)
 
-    @F.pandas_udf("array<int>")
+    @F.pandas_udf("binary")
     def cells(q):
         import pandas as pd
 
-        return pd.Series([probe(shared.value, x, n_probes) for x in q])
+        def bits(x):
+            own = np.zeros(len(shared.value), bool)
+            own[probe(shared.value, x, n_probes)] = True
+            return np.packbits(own).tobytes()
+
+        return pd.Series([bits(x) for x in q])
 
     kept = filtered(index.where(F.col(vector).isNotNull()), flt, get, id_col).select(F.col(id_col).alias("id"), F.col(vector).alias("v"), "cell")
     asked = queries.where("q is not null").select("query_id", "q", cells("q").alias("cells"))
-    n = asked.count()
-    parts = 1 if n <= BATCH_QUERIES else -(-n // (BATCH_QUERIES // 2))
+    schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {kept.schema['id'].dataType.simpleString()}, score double"
+    n = queries.where("q is not null").count()
+    most = max(1, QUERY_BYTES // (len(centres) + 8 * centres.shape[1]))
+    parts = 1 if n <= most else -(-2 * n // most)
+    tasks = max(index.sparkSession.sparkContext.defaultParallelism, -(-index.count() // TASK_ROWS))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
 
     def block(b: int) -> DataFrame:
         part = asked if parts == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == b)
-        scored = kept.join(F.broadcast(part), F.array_contains("cells", F.col("cell"))).select("query_id", "id", score_column(F.col("v"), F.col("q"), distance).alias("score"))
+        scored = _scored_cells(kept.coalesce(tasks), part.toArrow(), centres.shape, max(1, limit), distance, schema)
         return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit)
 
     return reduce(DataFrame.unionByName, [block(b) for b in range(parts)])
 
 
+def _first(found: pa.Table, limit: int) -> tuple[pa.Table, np.ndarray]:
+    """The best rows of each query, by score and then id, and their places."""
+    found = found.sort_by([("query", "ascending"), ("score", "descending"), ("id", "ascending")])
+    query = found["query"].to_numpy()
+    start = np.flatnonzero(np.diff(query, prepend=-1))
+    place = np.arange(len(query)) - np.repeat(start, np.diff(start, append=len(query)))
+    return found.filter(pa.array(place < limit)), place[place < limit]
+
+
+def _scored_cells(kept: DataFrame, asked: pa.Table, shape: tuple[int, int], limit: int, distance: str, schema: str) -> DataFrame:
+    """Rows (id, v, cell) against the queries that probe their cell: (query_id, id, score) of each task's best."""
+    n_cells, width = shape
+    q, fits = kernels.matrix(asked.column("q").combine_chunks(), width)
+    if not fits.all():
+        raise ValueError(f"queries need {width} numbers each")
+    bits = np.frombuffer(b"".join(asked.column("cells").to_pylist()), np.uint8).reshape(len(q), -1)
+    shared = kept.sparkSession.sparkContext.broadcast((asked.column("query_id").combine_chunks(), q, bits))
+
+    def run(batches):
+        names, q, bits = shared.value
+        probed = np.unpackbits(bits, axis=1, count=n_cells).astype(bool)
+        # The k-th best score of each query so far: what is less can't be among its best.
+        floor = np.full(len(q), -np.inf)
+        # How far a product may be from the pair's own score, in lengths.
+        slack = np.zeros(len(q)) if distance == "Euclidean" else 1e-11 * (np.linalg.norm(q, axis=1) if distance == "Dot" else np.ones(len(q)))
+        found, pending = [], 0
+
+        def settle():
+            nonlocal found, pending
+            top, place = _first(pa.concat_tables(found), limit)
+            last = place == limit - 1
+            floor[top["query"].to_numpy()[last]] = top["score"].to_numpy()[last]
+            found, pending = [top], 0
+
+        for batch in batches:
+            x, ok = kernels.matrix(batch.column(1), width)
+            cell = batch.column(2).to_numpy(zero_copy_only=False)
+            longest = np.linalg.norm(x, axis=1).max(initial=0.0) if distance == "Dot" else 1.0
+            for c in np.unique(cell):
+                rows, own = np.flatnonzero(cell == c), np.flatnonzero(probed[:, c])
+                for i in range(0, len(rows), FIT_BLOCK):
+                    for j in range(0, len(own), BATCH_QUERIES):
+                        r, o = rows[i : i + FIT_BLOCK], own[j : j + BATCH_QUERIES]
+                        at, col = kernels.at_least(kernels.score_block(x[r], ok[r], q[o], distance), limit, floor[o], slack[o] * longest)
+                        score = kernels.score_pairs(x[r], ok[r], q[o], at, col, distance)
+                        found.append(pa.table({"query": o[col], "id": batch.column(0).take(pa.array(r[at])), "score": score}))
+                        pending += len(at)
+                        if pending > PENDING:
+                            settle()
+        if found:
+            settle()
+            top = found[0].combine_chunks()
+            for out in top.select(["query", "id", "score"]).to_batches(max_chunksize=10_000):
+                yield pa.RecordBatch.from_arrays([names.take(out.column(0)), out.column(1), out.column(2)], ["query_id", "id", "score"])
+
+    return kept.mapInArrow(run, schema)
+
+
 # -- binary codes: every row is looked at, by 256 bits; few rows' vectors are read
 CODE_BITS = 256
 

@@ -1,6 +1,7 @@
 import json
 import uuid
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -199,6 +200,29 @@ def test_ann_recall_as_registered(spark, data):
     assert sum(got) / len(got) >= 0.9
 
 
+@pytest.mark.parametrize("distance", ["Cosine", "Dot", "Euclidean"])
+def test_ann_batch_by_cells(spark, tmp_path, distance, monkeypatch):
+    """A batch gives what single searches give, without a row for each pair of query and point; equal vectors come by id."""
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((600, 8)).round(3)
+    x[100:200] = x[100]
+    pts = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vector array<float>").repartition(5)
+    centres = ann.build(pts, f"file://{tmp_path}/ann", cells=12)
+    index = spark.read.parquet(f"file://{tmp_path}/ann/cells")
+    asked = pts.where("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("vector").alias("q"))
+    monkeypatch.setattr(ann, "QUERY_BYTES", 10 * (12 + 8 * 8), raising=False)
+    found = ann.search_batch(index, centres, asked, 10, 4, distance)
+    assert "Join" not in plan(found)
+    got = {}
+    for r in found.orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["id"], round(r["score"], 6)))
+    assert len(got) == 30
+    for i in (0, 100, 160, 340):
+        one = ann.search(index, centres, x[i].astype(np.float32).tolist(), 10, 4, distance).collect()
+        assert got[i] == [(r["id"], round(r["score"], 6)) for r in one]
+    assert [i for i, _ in got[160]][:5] == [100, 101, 102, 103, 104] or distance == "Dot"
+
+
 def test_postings_of_all_terms(spark, data):
     """The registered index has the rare terms too."""
     from pointsmith.plans import registry
