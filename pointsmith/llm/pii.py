@@ -13,7 +13,9 @@ kind `context`, unseen identifiers. Base spans stay; the found ones are added.
 The texts are read once, and once more for the uses of patterns that may be trusted, if there are any; spans and
 instances (positions, pattern and instance hashes, no text) are written to the shared folder. Edges are aggregated
 before they are joined; patterns of fewer than MIN_INSTANCES different instances can't be trusted and leave the graph
-first. Regular expressions use possessive quantifiers and start only where a match can, so they run in linear time on
+first. So do those that can't be trusted by their uses in one of FIRST_SHARE texts alone: a score is at most the
+instances' share among instances and uses, and more texts only add uses. All uses are counted of the rest, which have
+not many times as many as they have instances; no score of theirs depends on the patterns that left. Regular expressions use possessive quantifiers and start only where a match can, so they run in linear time on
 very long texts and do not recurse; context words are looked for in the CONTEXT_LETTERS letters beside an instance.
 
 Defined results: null and empty texts have no spans; failing base matches are dropped without retries; a found
@@ -50,6 +52,8 @@ MIN_SCORE = 0.8
 #: How much an instance that nothing speaks for yet counts against its patterns.
 UNKNOWN = 0.25
 MAX_TURNS = 20
+#: Uses are counted in one of so many texts first.
+FIRST_SHARE = 64
 SETTLED = 1e-3
 #: Patterns whose uses are counted with one broadcast of their words; beyond it they are joined.
 MAX_WORDS = 50_000
@@ -179,13 +183,16 @@ def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return cut(docs.sparkSession, read)
 
 
-def _uses(docs: DataFrame, patterns: DataFrame, text_col: str) -> DataFrame:
+def _uses(docs: DataFrame, patterns: DataFrame, text_col: str, share: int = 1) -> DataFrame:
     """(pattern, half, uses): how often the words of each pattern stand together, with an instance between or not.
 
-    Words are looked at as rows only where a pattern's hash can be theirs; counts leave the map side.
+    share: looks at one of so many texts, of both halves. Words are looked at as rows only where a pattern's hash can be
+    theirs; counts leave the map side.
     """
     full = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     half = F.pmod(F.xxhash64(full), F.lit(2)).cast("int")
+    if share > 1:
+        docs = docs.where(F.pmod(F.xxhash64(full), F.lit(2 * share)) < 2)
     words = F.filter(F.split(full, r"\s+"), lambda w: w != "")
 
     def places(w: Column) -> Column:
@@ -214,6 +221,13 @@ def trusted_patterns(extracted: DataFrame, docs: DataFrame, text_col: str = "tex
     edges = cut(spark, edges.join(able, "pattern", "left_semi"))
     # Where the words stand with no instance between them is against the pattern, as are instances that score low.
     between = edges.groupBy("pattern", "half").agg(F.sum("n").alias("n"))
+    # Common words show in a few texts that they can't be trusted: were all instances known, these uses were too many.
+    seen = between.join(_uses(docs, able, text_col, FIRST_SHARE), ["pattern", "half"], "left")
+    able = cut(spark, seen.groupBy("pattern").agg(F.min(F.col("n") / (F.col("n") + F.coalesce("uses", F.lit(0)))).alias("most")).where(F.col("most") >= min_score).select("pattern"))
+    if able.isEmpty():
+        return nothing
+    edges = edges.join(able, "pattern", "left_semi")
+    between = between.join(able, "pattern", "left_semi")
     uses = cut(spark, between.join(_uses(docs, able, text_col), ["pattern", "half"], "left").select("pattern", "half", F.coalesce("uses", F.lit(0)).alias("free")))
     scores = cut(spark, edges.groupBy("pattern").agg(F.lit(0.0).alias("score")))
     for _ in range(max_turns):

@@ -467,6 +467,30 @@ def test_pii_needs_more_than_seeds_by_chance(spark):
     assert all(not r["found"] for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect())
 
 
+def test_pii_counts_few_uses_of_common_words(spark, monkeypatch):
+    """Common words before numbers leave the graph by some texts' uses; what is found is the same for any share of texts."""
+    common = " ".join(f"of the hill{k}" for k in range(10))
+    rows = [(i, f"{prose(5, i)} {common}" + (f" of the +1 (555) 555-{1000 + i} end" if i < 60 else "")) for i in range(1500)]
+    rows += [(2000 + i, f"{prose(5, i)} then contact +1 (555) 777-{1000 + i} and more") for i in range(40)] + [(9000, "then contact 5550-1234-99 and more"), (9001, "some of the 12345678 here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).persist()
+    counted, uses = [], pii._uses
+
+    def watched(*args):
+        out = uses(*args)
+        counted.append(out.agg(F.coalesce(F.sum("uses"), F.lit(0))).first()[0])
+        return out
+
+    monkeypatch.setattr(pii, "_uses", watched)
+    by_id = lambda: {r["doc_id"]: [(x["s"], x["e"]) for x in r["found"]] for r in pii.find_pii(docs).collect()}
+    found = by_id()
+    assert 0 < sum(counted) < 1500
+    assert found[9000] == [(13, 25)] and found[9001] == []
+    for share in (1, 10**9):
+        monkeypatch.setattr(pii, "FIRST_SHARE", share)
+        assert by_id() == found
+    docs.unpersist()
+
+
 @pytest.mark.parametrize("run", [toxicity.toxicity, quality.quality])
 def test_classifiers_on_odd_tables(spark, run):
     """Clashing columns, null ids, repeated rows, very long texts, an empty table."""
