@@ -165,7 +165,7 @@ def _scored_cells(kept: DataFrame, asked: pa.Table, shape: tuple[int, int], limi
     q, fits = kernels.matrix(asked.column("q").combine_chunks(), width)
     if not fits.all():
         raise ValueError(f"queries need {width} numbers each")
-    bits = np.frombuffer(b"".join(asked.column("cells").to_pylist()), np.uint8).reshape(len(q), -1)
+    bits = np.frombuffer(b"".join(asked.column("cells").to_pylist()), np.uint8).reshape(len(q), -(-n_cells // 8))
     shared = kept.sparkSession.sparkContext.broadcast((asked.column("query_id").combine_chunks(), q, bits))
 
     def run(batches):

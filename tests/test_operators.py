@@ -221,6 +221,11 @@ def test_ann_batch_by_cells(spark, tmp_path, distance, monkeypatch):
         one = ann.search(index, centres, x[i].astype(np.float32).tolist(), 10, 4, distance).collect()
         assert got[i] == [(r["id"], round(r["score"], 6)) for r in one]
     assert [i for i, _ in got[160]][:5] == [100, 101, 102, 103, 104] or distance == "Dot"
+    assert ann.search_batch(index, centres, asked.where("false"), 10, 4, distance).isEmpty()
+    assert ann.search_batch(index, centres, asked, 0, 4, distance).isEmpty()
+    named = index.withColumn("id", F.concat(F.lit("p"), "id"))
+    texts = {(r["query_id"], r["rank"]): r["id"] for r in ann.search_batch(named, centres, asked, 3, 4, distance, {"must": [{"key": "id", "match": {"value": "p100"}}]}).collect()}
+    assert set(texts.values()) == {"p100"} and texts[160, 1] == "p100"
 
 
 def test_postings_of_all_terms(spark, data):
