@@ -16,8 +16,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from heapq import heapify, heappop, heappush
+from array import array
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -42,126 +43,161 @@ class Replay:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.bytes_of = {v: k for k, v in ranks.items()}
-        self.single = [ranks[bytes([b])] for b in range(256)]
-        self.pairs: dict[tuple[int, int], int] = {}
-
-    def _made(self, a: int, b: int) -> int:
-        """The token that a and b make, or -1."""
-        pairs = self.pairs
-        if (r := pairs.get((a, b))) is None:
-            if len(pairs) > 200_000:
-                pairs.clear()
-            r = pairs[a, b] = self.ranks.get(self.bytes_of[a] + self.bytes_of[b], -1)
-        return r
+        self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        #: What a token makes with the one after it, and with the one before it: each way to cut a token into two.
+        none: dict[int, int] = {}
+        self.with_next = [none] * (max(self.bytes_of) + 1)
+        self.with_last = self.with_next.copy()
+        for t, r in ranks.items():
+            for k in range(1, len(t)):
+                if (x := ranks.get(t[:k])) is not None and (y := ranks.get(t[k:])) is not None:
+                    for made, one, other in ((self.with_next, x, y), (self.with_last, y, x)):
+                        if made[one] is none:
+                            made[one] = {}
+                        made[one][other] = r
+        single = self.single.tolist()
+        self.made_of_bytes = np.array([[self.with_next[x].get(y, -1) for y in single] for x in single])
 
     def encode(self, words: list[bytes]) -> list[list[int]]:
         """The ids of each word."""
-        made, single = self._made, self.single
-        token: list[int] = []
-        after: list[int] = []
-        before: list[int] = []
-        firsts: list[int] = []
-        where: dict[int, list[int]] = {}
-        for w in words:
-            base, n = len(token), len(w)
-            firsts.append(base)
-            if w in self.ranks:
-                token.append(self.ranks[w])
-                after.append(-1)
-                before.append(-1)
-                continue
-            token.extend([single[b] for b in w])
-            after.extend(range(base + 1, base + n + 1))
-            before.extend(range(base - 1, base + n - 1))
-            before[base] = after[-1] = -1
-            for i in range(base, base + n - 1):
-                if (r := made(token[i], token[i + 1])) >= 0:
-                    where.setdefault(r, []).append(i)
-        heap = list(where)
-        heapify(heap)
-        while heap:
-            r = heappop(heap)
-            if not (places := where.pop(r, None)):
+        out = [[self.ranks[w]] if w in self.ranks else [] for w in words]
+        rest = [k for k, ids in enumerate(out) if not ids and words[k]]
+        if rest:
+            lengths = np.array([len(words[k]) for k in rest])
+            ids, bounds = self._replay(np.frombuffer(b"".join([words[k] for k in rest]), np.uint8), np.cumsum(lengths) - lengths)
+            for k, lo, hi in zip(rest, bounds, bounds[1:]):
+                out[k] = ids[lo:hi]
+        return out
+
+    def _replay(self, data: np.ndarray, firsts: np.ndarray) -> tuple[list[int], list[int]]:
+        """The ids of words that stand one after another in data, and where each word's ids begin (one more than words)."""
+        size = len(data)
+        lasts = np.append(firsts[1:], size) - 1
+        link = np.arange(-1, size + 1)
+        before, after = link[:size].copy(), link[2:].copy()
+        before[firsts] = after[lasts] = -1
+        pairs = np.full(size, -1)
+        pairs[:-1] = self.made_of_bytes[data[:-1], data[1:]]
+        pairs[lasts] = -1
+        # Arrays, not lists: places are taken in no order, and four bytes each stay near the processor.
+        # makes: what a place's token and the next one make; -1 where nothing, or a merge has taken the place.
+        token, before, after, makes = (array("i", x.astype(np.int32).tobytes()) for x in (self.single[data], before, after, pairs))
+        found = np.flatnonzero(pairs >= 0)
+        found = found[np.argsort(pairs[found], kind="stable")]
+        made, cuts = np.unique(pairs[found], return_index=True)
+        in_order: list[int] = found.tolist()
+        where: list[list[int] | None] = [None] * len(self.with_next)
+        for r, lo, hi in zip(made.tolist(), cuts.tolist(), [*cuts[1:].tolist(), len(in_order)]):
+            where[r] = in_order[lo:hi]
+        r = -1
+        while (r := r + 1) < len(where):
+            if (places := where[r]) is None:
                 continue
+            where[r] = None
             places.sort()
+            with_next, with_last = self.with_next[r], self.with_last[r]
             for k, i in enumerate(places):
-                j = after[i]
-                if j < 0 or token[i] < 0 or made(token[i], token[j]) != r:
+                if makes[i] != r:
                     continue  # a merge has taken one of the two
-                token[i], token[j] = r, -1
+                j = after[i]
                 after[i] = n = after[j]
-                lower = False
+                token[i], token[j], makes[i], makes[j] = r, -1, -1, -1
+                lowest = r
                 if n >= 0:
                     before[n] = i
-                    if (s := made(r, token[n])) >= 0:
-                        if s not in where:
-                            where[s] = []
-                            heappush(heap, s)
-                        where[s].append(i)
-                        lower = s < r
-                if (p := before[i]) >= 0 and (s := made(token[p], r)) >= 0:
-                    if s not in where:
-                        where[s] = []
-                        heappush(heap, s)
-                    where[s].append(p)
-                    lower = lower or s < r
-                if lower:
-                    where[r] = where.get(r, []) + places[k + 1 :]
-                    heappush(heap, r)
+                    if (s := with_next.get(token[n])) is not None:
+                        makes[i] = s
+                        if (known := where[s]) is None:
+                            where[s] = [i]
+                        else:
+                            known.append(i)
+                        if s < r:
+                            lowest = s
+                if (p := before[i]) >= 0:
+                    if (s := with_last.get(token[p])) is not None:
+                        makes[p] = s
+                        if (known := where[s]) is None:
+                            where[s] = [p]
+                        else:
+                            known.append(p)
+                        if s < lowest:
+                            lowest = s
+                    else:
+                        makes[p] = -1
+                if lowest < r:
+                    where[r] = (where[r] or []) + places[k + 1 :]
+                    r = lowest - 1
                     break
-        out = []
-        for i, w in zip(firsts, words):
-            ids = []
-            while i >= 0 and w:
-                ids.append(token[i])
-                i = after[i]
-            out.append(ids)
-        return out
+        tokens = np.frombuffer(token, np.int32)
+        left = tokens >= 0
+        return tokens[left].tolist(), [*(np.cumsum(left) - left)[firsts].tolist(), int(left.sum())]
+
+
+#: What is kept of a pre-token: its ids joined by commas (or "" in an encoder without them), its ids (or none), its bytes.
+Entry = tuple[str, tuple[int, ...], bytes]
 
 
 class Encoder:
-    """A worker's vocabulary and what it has encoded so far: pre-token -> (ids joined by commas, ids, bytes)."""
+    """A worker's vocabulary and what it has encoded so far.
+
+    shown: the ids are kept as text, else as numbers. What is known is kept in two halves: when the newer one is full,
+    it becomes the older one, and of that before only the pre-tokens stay that have come up again since.
+    """
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, shown: bool = False):
         self.replay = Replay(load_ranks(path))
         self.find = regex.compile(pattern).findall
-        self.known: dict[str, tuple[str, tuple[int, ...], bytes]] = {}
+        self.shown = shown
+        self.forms = [str(i) if shown else i for i in range(len(self.replay.with_next))]
+        self.known: dict[str, Entry] = {}
+        self.older: dict[str, Entry] = {}
         self.weight = 0
 
-    def _entry(self, ids: list[int]) -> tuple[str, tuple[int, ...], bytes]:
-        return ",".join(map(str, ids)), tuple(ids), b"".join(map(self.replay.bytes_of.__getitem__, ids))
+    def _entry(self, ids: list[int]) -> Entry:
+        forms, bytes_of = self.forms, self.replay.bytes_of
+        own = [forms[i] for i in ids]
+        return ",".join(own) if self.shown else "", () if self.shown else tuple(own), b"".join([bytes_of[i] for i in ids])
+
+    def _weight(self, word: str, entry: Entry) -> int:
+        return 330 + 3 * len(word) + len(entry[0]) + 8 * len(entry[1])
 
-    def block(self, texts: list[str]) -> list[list[tuple[str, tuple[int, ...], bytes]]]:
+    def block(self, texts: list[str]) -> list[list[Entry]]:
         """The entries of each text's pre-tokens."""
         found = [self.find(t) for t in texts]
-        if self.weight > CACHE_BYTES:
-            self.known, self.weight = {}, 0
-        known = self.known
-        new = list({w for words in found for w in words if w not in known})
-        long = {}
+        if self.weight > CACHE_BYTES // 2:
+            self.older, self.known, self.weight = self.known, {}, 0
+        known, older = self.known, self.older
+        new, long = [], {}
+        for w in set().union(*found).difference(known):
+            if (e := older.get(w)) is None:
+                new.append(w)
+            else:
+                known[w] = e
+                self.weight += self._weight(w, e)
         for w, ids in zip(new, self.replay.encode([w.encode() for w in new])):
+            e = self._entry(ids)
             if len(w) <= CACHE_WORD_LETTERS:
-                known[w] = self._entry(ids)
-                self.weight += 360 + 3 * len(w) + 16 * len(ids)
+                known[w] = e
+                self.weight += self._weight(w, e)
             else:
-                long[w] = self._entry(ids)
+                long[w] = e
         if not long:
             return [[known[w] for w in words] for words in found]
         return [[known[w] if w in known else long[w] for w in words] for words in found]
 
 
-def _encoder(vocabulary: str, pattern: str | None) -> Encoder:
+def _encoder(vocabulary: str, pattern: str | None, shown: bool = False) -> Encoder:
     def build():
         import public_tokenizers
 
-        return Encoder(vocabulary if "/" in vocabulary else tokenizer_path(vocabulary), pattern or public_tokenizers.PATTERN)
+        return Encoder(vocabulary if "/" in vocabulary else tokenizer_path(vocabulary), pattern or public_tokenizers.PATTERN, shown)
 
-    return worker_state(("bpe", vocabulary, pattern), build)
+    return worker_state(("bpe", vocabulary, pattern, shown), build)
 
 
-def _run(vocabulary: str, pattern: str | None, row, schema: pa.Schema):
+def _run(vocabulary: str, pattern: str | None, row, schema: pa.Schema, shown: bool = False):
     def run(batches):
-        encoder = _encoder(vocabulary, pattern)
+        encoder = _encoder(vocabulary, pattern, shown)
         for batch in batches:
             for lo, hi in tb.slices(batch.column(1)):
                 ids = batch.column(0).slice(lo, hi - lo)
@@ -197,7 +233,7 @@ def encode_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): encode and decode on the worker and return digests of both."""
     rows = id_text(docs, id_col, text_col)
     schema = pa.schema([("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
-    return map_arrow(rows, _run(vocabulary, pattern, _digest, schema), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_arrow(rows, _run(vocabulary, pattern, _digest, schema, shown=True), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", vocabulary: str = VOCABULARY) -> DataFrame:

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -252,6 +253,31 @@ def test_replay_takes_lower_ranks_first():
     assert bpe.Replay(ranks).encode([w.encode() for w in words]) == [library.encode_ordinary(w) for w in words]
 
 
+def test_bpe_encodes_recurring_words_once(monkeypatch):
+    """A worker that can't keep all pre-tokens keeps those that come up again, in both forms, with the library's ids."""
+    import public_tokenizers
+    from pointsmith.llm.common import tokenizer_path
+
+    library, r = brute.bpe(), random.Random(12)
+    common = ["".join(r.choice("bcdfgéß日'01") for _ in range(r.randint(5, 12))) for _ in range(40)]
+    blocks = [[" ".join([*common, *("".join(r.choice("kqvwxyzö") for _ in range(9)) for _ in range(100))])] for _ in range(30)]
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 200_000)
+    for shown in ((), (True,)):
+        own = bpe.Encoder(tokenizer_path(bpe.VOCABULARY), public_tokenizers.PATTERN, *shown)
+        asked = Counter()
+        encode = own.replay.encode
+        monkeypatch.setattr(own.replay, "encode", lambda words: asked.update(words) or encode(words))
+        for texts in blocks:
+            want = library.encode_ordinary(texts[0])
+            entries = own.block(texts)[0]
+            if shown:
+                assert ",".join(e[0] for e in entries) == ",".join(map(str, want))
+            else:
+                assert [i for e in entries for i in e[1]] == want
+            assert b"".join(e[2] for e in entries) == texts[0].encode()
+        assert max(asked.values()) == 1 and len(own.known) + len(own.older) < len(asked) / 2
+
+
 def test_token_counts(docs):
     library = brute.pieces()
     for i, row in got(token_counts.count_tokens(docs, frequent=64)).items():
